@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, urls
+from . import mixing, sharding, urls, warc
 
 
 def queries() -> dict:
     fns = (
+        warc.op1_warc_chunks,
         urls.op4_redirect_equivalence,
         sharding.op6_interleaved_shards,
         mixing.op8_curriculum_mix,
@@ -16,6 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_chunks": warc.ORACLE,
         "op4_redirect_equivalence": urls.ORACLE,
         "op6_interleaved_shards": sharding.ORACLE,
         "op8_curriculum_mix": mixing.ORACLE,
