@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, urls, warc
+from . import minhash, mixing, sharding, urls, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         urls.op4_redirect_equivalence,
         sharding.op6_interleaved_shards,
         mixing.op8_curriculum_mix,
+        minhash.op10_lsh_forest,
     )
     return {f.__name__: f for f in fns}
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_redirect_equivalence": urls.ORACLE,
         "op6_interleaved_shards": sharding.ORACLE,
         "op8_curriculum_mix": mixing.ORACLE,
+        "op10_lsh_forest": minhash.ORACLE,
     }
