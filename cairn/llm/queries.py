@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, sharding, urls, warc
+from . import forest, minhash, mixing, sharding, urls, warc
 
 
 def queries() -> dict:
     fns = (
         warc.op1_warc_chunks,
         urls.op4_redirect_equivalence,
+        forest.op5_projection_forest,
         sharding.op6_interleaved_shards,
         mixing.op8_curriculum_mix,
         minhash.op10_lsh_forest,
@@ -20,6 +21,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_chunks": warc.ORACLE,
         "op4_redirect_equivalence": urls.ORACLE,
+        "op5_projection_forest": forest.ORACLE,
         "op6_interleaved_shards": sharding.ORACLE,
         "op8_curriculum_mix": mixing.ORACLE,
         "op10_lsh_forest": minhash.ORACLE,
