@@ -94,3 +94,8 @@ def ranked(
         upto = order.rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumn(before, (F.sum(size).over(upto) - F.col(size) + F.col("__s0")).cast("long"))
     return out.drop("__bucket", "__n0", "__s0")
+
+
+def small_side(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (ids and small numbers only), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import forest, minhash, mixing, sharding, urls, warc
+from . import forest, kneser, minhash, mixing, sharding, urls, warc
 
 
 def queries() -> dict:
     fns = (
         warc.op1_warc_chunks,
         urls.op4_redirect_equivalence,
+        kneser.op2_kneser_ney_quality,
         forest.op5_projection_forest,
         sharding.op6_interleaved_shards,
         mixing.op8_curriculum_mix,
