@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forest, kneser, minhash, mixing, sharding, urls, warc
+from . import decontam, forest, kneser, minhash, mixing, sharding, urls, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         warc.op1_warc_chunks,
         urls.op4_redirect_equivalence,
         kneser.op2_kneser_ney_quality,
+        decontam.op3_pigeonhole_leaks,
         forest.op5_projection_forest,
         sharding.op6_interleaved_shards,
         mixing.op8_curriculum_mix,
