@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, forest, kneser, minhash, mixing, sharding, urls, warc
+from . import decontam, forest, kneser, licenses, minhash, mixing, sharding, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         decontam.op3_pigeonhole_leaks,
         forest.op5_projection_forest,
         sharding.op6_interleaved_shards,
+        toxicity.op7_toxicity_cnn,
         mixing.op8_curriculum_mix,
+        licenses.op9_license_compression,
         minhash.op10_lsh_forest,
     )
     return {f.__name__: f for f in fns}
