@@ -13,7 +13,7 @@ from .common import drop, written
 from .components import connected
 
 COSINE = 0.9
-TREES, LEAF, SPILL = 8, 800, 0.08
+TREES, LEAF, SPILL = 12, 800, 0.1
 #: Rows that the trees' thresholds are fitted on, at most; every row is indexed.
 SAMPLE = 8192
 #: A leaf of more rows is compared in blocks of this many, a pair of blocks per task.
