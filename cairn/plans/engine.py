@@ -88,7 +88,7 @@ class SearchEngine:
         valid.select(*LOG.fieldNames(), order.alias("seq"), day.alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{folder}/logs")
         logs = self._logs([folder])
         index = postings(logs).repartitionByRange("term", "ts").sortWithinPartitions("term", "ts")
-        index.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{folder}/postings")
+        index.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{folder}/postings")
         rejected.select("error", *([c for c in ("raw",) if c in rejected.columns])).write.mode("overwrite").json(f"{folder}/rejected")
         n, bad = logs.count(), rejected.count()
         if not self._fs.createNewFile(self._path(f"{self.root}/batches/{name}")):

@@ -151,6 +151,8 @@ class Store:
         # level 0 may hold many versions of a hot key: those are split too; below, keys are unique
         ordered = rows.repartitionByRange(*by) if level == 0 else rows.repartitionByRange(files or 1, "key")
         writer = ordered.sortWithinPartitions(*by).write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.options.bloom_rate))
+        # sized by the number of keys that a file turns out to hold
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(folder)
         stats = (
             self.spark.read.schema(KV_MUTATION)

@@ -70,7 +70,9 @@ def from_bodies(bodies: DataFrame, col: str = "value") -> DataFrame:
     whole = F.try_parse_json(text)
     array = F.transform(F.try_variant_get(whole, "$", "array<variant>"), lambda x: F.to_json(x))
     lines = F.filter(F.split(text, "\r?\n"), lambda x: F.trim(x) != "")
-    parts = F.when(text.startswith("["), F.coalesce(array, F.array(text))).when(text.startswith("{"), F.when(whole.isNotNull(), F.array(text)).otherwise(lines)).otherwise(F.array(text))
+    # the parser stops after one object, so a body of several is told by its lines; a pretty-printed one has none that parse
+    by_line = F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
+    parts = F.when(text.startswith("["), F.coalesce(array, F.array(text))).when(text.startswith("{"), F.when(by_line | whole.isNull(), lines).otherwise(F.array(text))).otherwise(F.array(text))
     raw = bodies.select(F.explode(parts).alias("raw"))
     return typed(raw.select(F.try_parse_json("raw").alias("v"), "raw"))
 

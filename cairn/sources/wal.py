@@ -69,7 +69,7 @@ def _open(path: str):
 
 
 def segments(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, length, segment) in order, by Spark's file listing; contents are not read."""
+    """(path, length, segment) in order, by Spark's file listing; contents are not read, empty segments not listed."""
     files = spark.read.format("binaryFile").load(pattern).select("path", "length")
     return files.withColumn("segment", F.regexp_extract("path", r"(\d+)[^\d/]*$", 1).try_cast("long")).orderBy("segment")
 
