@@ -1,3 +1,26 @@
 """Spark-native engine for structured logs and versioned key-value data."""
 
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
 __version__ = "0.1.0"
+
+
+def ship(spark) -> None:
+    """Send this package to the executors, once per application, so that Python workers can import it anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cairn_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="cairn-ship-"), "cairn.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)
+    sc._cairn_shipped = True
