@@ -98,4 +98,4 @@ def ranked(
 
 def small_side(df: DataFrame, most: int = 2_000_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows (ids and small numbers only), else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df
