@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.durations import parse_duration, parse_interval
 from ..operators import histogram, kv
 from ..operators.search import Query, by_id, current_logs, postings, search, total_hits
-from ..schemas import LOG, POSTING
-from ..sources import json_ingest
+from ..schemas import KV_MUTATION, LOG, POSTING
+from ..sources import json_ingest, wal
 from . import stats
 from .storage import Options, Store
 
@@ -21,23 +21,34 @@ from .storage import Options, Store
 class Engine:
     """Keys and values. Writes are batches; each flush is one atomic commit."""
 
-    def __init__(self, spark: SparkSession, root: str, options: Options | None = None):
-        self.spark, self.store = spark, Store(spark, root, options)
+    def __init__(self, spark: SparkSession, root: str, options: Options | None = None, auto_compact: bool = False):
+        self.spark, self.store, self.auto_compact = spark, Store(spark, root, options), auto_compact
 
     def put_many(self, rows: Iterable[tuple[bytes, bytes]], batch: str | None = None) -> None:
-        self.store.flush(kv.puts(self.spark, rows, time.time_ns()), batch)
+        self.write(kv.puts(self.spark, rows, time.time_ns()), batch)
 
     def put(self, key: bytes, value: bytes) -> None:
         self.put_many([(key, value)])
 
     def delete_many(self, keys: Iterable[bytes], batch: str | None = None) -> None:
-        self.store.flush(kv.deletes(self.spark, keys, time.time_ns()), batch)
+        self.write(kv.deletes(self.spark, keys, time.time_ns()), batch)
 
     def delete(self, key: bytes) -> None:
         self.delete_many([key])
 
     def write(self, mutations: DataFrame, batch: str | None = None) -> None:
         self.store.flush(mutations, batch)
+        if self.auto_compact:
+            self.store.compact()
+
+    def recover(self, folder: str) -> DataFrame:
+        """Take in the valid prefix of every log segment of a folder, once, and return the recovery report.
+
+        Segments are never changed or deleted; a damaged one stays for quarantine, as its report says.
+        """
+        rows = wal.read_wal(self.spark, folder)
+        self.write(rows.select(*KV_MUTATION.fieldNames()), f"wal:{folder}")
+        return wal.recovery_report(self.spark, f"{folder.rstrip('/')}/*.wal")
 
     def get(self, key: bytes) -> bytes | None:
         row = self.store.get(key).first()

@@ -108,6 +108,8 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, options: Options | None = None):
         self.spark, self.root, self.options = spark, root.rstrip("/"), options or Options()
+        #: Read without Bloom filters, to measure what they save.
+        self.bypass_bloom = False
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -187,7 +189,7 @@ class Store:
         paths = [t.path for t in self.manifest(version).tables if t.overlaps(lo, hi)]
         if not paths:
             return self.spark.createDataFrame([], KV_MUTATION)
-        rows = self.spark.read.schema(KV_MUTATION).parquet(*paths)
+        rows = self.spark.read.schema(KV_MUTATION).option("parquet.filter.bloom.enabled", str(not self.bypass_bloom).lower()).parquet(*paths)
         return rows.where(key_range(start, end))
 
     def current(self, version: int | None = None) -> DataFrame:

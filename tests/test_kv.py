@@ -157,3 +157,18 @@ def test_decode_error(tmp_path):
     body = struct.pack(">qBHI", 1, 1, 500, 0)
     report = wal.Report()
     assert list(wal.frames(io.BytesIO(struct.pack(">II", zlib.crc32(body), len(body)) + body), 1000, report)) == [] and report["corruption_type"] == "decode_error"
+
+
+def test_recovered_segments_become_state(spark, tmp_path):
+    folder = tmp_path / "wal"
+    folder.mkdir()
+    (folder / "1.wal").write_bytes(b"".join(encode_frame(b"k%d" % i, b"old", i, 1) for i in range(5)))
+    (folder / "2.wal").write_bytes(encode_frame(b"k1", b"new", 9, 1) + encode_frame(b"k2", None, 9, 2) + b"torn")
+    e = Engine(spark, f"file://{tmp_path}/kv", Options(l0_trigger=1), auto_compact=True)
+    for _ in range(2):  # the second time changes nothing
+        report = {wal.segment_number(r.path): r for r in e.recover(f"file://{folder}").collect()}
+        assert report[2].corruption_type == "truncated_tail" and not report[1].corruption_detected
+        assert dict(e.scan()) == {b"k0": b"old", b"k1": b"new", b"k3": b"old", b"k4": b"old"}
+    e.store.bypass_bloom = True
+    assert e.get(b"k1") == b"new" and e.get(b"k2") is None
+    assert {t.level for t in e.store.manifest().tables} == {1}
