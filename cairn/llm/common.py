@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a bucket of ``ranked``: what a task sorts at least, texts and all.
+BUCKET_ROWS = 8192
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -69,7 +71,7 @@ def ranked(
     rank: str,
     size: str | None = None,
     before: str | None = None,
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = BUCKET_ROWS,
 ) -> DataFrame:
     """1-based rank of each row within ``group`` by (``key``, ``ties``), without one task per group.
 

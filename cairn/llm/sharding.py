@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, hash32, null_safe, ranked, written
+from .common import BUCKET_ROWS, hash32, null_safe, ranked, written
 
 SHARDS, SEED = 24, 17
 
@@ -16,7 +16,7 @@ def interleave(
     seed: int = SEED,
     id_col: str = "doc_id",
     source_col: str = "source",
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = BUCKET_ROWS,
 ) -> DataFrame:
     """``docs`` plus ``shard`` (0..shards-1) and ``slot`` (gapless from 0 within the shard).
 
