@@ -22,7 +22,10 @@ def tokenize(text: Column) -> Column:
     Runs of letters, decimal digits, ``_`` and ``-``; stripped of ``_`` and ``-`` at both ends; lower-cased; of 2 to
     64 bytes; no stop words. Built-in functions only, so it stays in the JVM.
     """
-    words = F.transform(F.split(text, r"[^\p{L}\p{Nd}_-]+"), lambda w: F.lower(F.regexp_replace(w, "^[_-]+|[_-]+$", "")))
+    # one pass each over the whole text, not one per word: the dotted capital I is the one letter that lower() turns
+    # into a letter and a mark; the separators take the _ and - beside them along
+    low = F.lower(F.translate(text, "\u0130", "i"))
+    words = F.split(F.regexp_replace(low, "^[_-]++|(?<![_-])[_-]++$", ""), r"(?<![_-])[_-]*+(?:[^\p{L}\p{Nd}_-]++[_-]*+)+")
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.array_distinct(F.filter(words, lambda w: F.octet_length(w).between(LEAST, MOST) & ~F.array_contains(stop, w)))
 
