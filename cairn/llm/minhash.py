@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, written
+from .common import drop, small_side, written
 from .components import connected
 from .shingles import HASHES, fingerprint, shingle_set, signature, similar
 
 TREES, FIRST, DEPTH, LEAST, REGION = 32, 3, 8, 3, 6
 PERCENT = 75
+#: Rows and shingles of a block of a dense group; a task compares two blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_000_000
 #: Ids of which this many may be broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -155,6 +157,110 @@ def _links(docs: DataFrame, reps: DataFrame, trees: range, percent: int, id_col:
     return links
 
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, rep, comp) for each tree: the tree and its first LEAST places as a number."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u2").reshape(-1, HASHES).astype(np.int64)
+        for t in range(TREES):
+            region = np.full(len(sigs), t, np.int64)
+            for place in ORDERS[t][:LEAST]:
+                region = (region << 16) | sigs[:, place]
+            yield pa.record_batch([pa.array(region), batch.column(0), batch.column(1)], ["region", "rep", "comp"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(text.as_py()).tobytes() for text in batch.column(1)]
+        yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
+
+
+def linked(comp: np.ndarray, side: np.ndarray | None, sigs: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Index pairs of links that join the components of a block, or of two blocks told by ``side``.
+
+    Every pair of rows (of either side, if given) that no earlier link or ``comp`` joins is compared: signatures as in
+    ``_promising``, then the full sets, by lists of the rows that hold each shingle. Rows whose places are those of
+    the most rows come first, so an original is linked with its copies before the copies are compared.
+    """
+    n = len(comp)
+    size = np.array([len(s) for s in sets])
+    _, of = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), size)
+    held = row[np.argsort(of, kind="stable")]
+    ends = np.cumsum(np.bincount(of))
+    starts = np.concatenate(([0], ends[:-1]))
+    parts = np.split(of, np.cumsum(size)[:-1])
+    usual = np.zeros(n, np.int64)
+    for place in range(HASHES):
+        _, value, count = np.unique(sigs[:, place], return_inverse=True, return_counts=True)
+        usual += count[value]
+    at, left, out = comp.copy(), np.ones(n, bool), []
+    for x in np.argsort(-usual, kind="stable"):
+        left[x] = False
+        others = left & (at != at[x])
+        if side is not None:
+            others &= side != side[x]
+        y = np.flatnonzero(others)
+        y = y[(sigs[y] == sigs[x]).sum(axis=1) >= HASHES // 2]
+        if not len(y):
+            continue
+        common = np.bincount(np.concatenate([held[starts[s] : ends[s]] for s in parts[x]]), minlength=n)[y]
+        for k in y[100 * common >= percent * (size[x] + size[y] - common)]:
+            if at[k] != at[x]:
+                at[at == at[k]] = at[x]
+                out.append((x, k))
+    return out
+
+
+def _linked(percent: int):
+    def link(block: pa.Table) -> pa.Table:
+        rep, comp, side = (block.column(k).to_numpy() for k in ("rep", "comp", "block"))
+        sigs = np.frombuffer(b"".join(block.column("sig").to_pylist()), ">u2").reshape(-1, HASHES).astype(np.uint16)
+        sets = [np.frombuffer(s, np.uint64) for s in block.column("set").to_pylist()]
+        pairs = linked(comp, side if block.column("i")[0] != block.column("j")[0] else None, sigs, sets, percent)
+        pairs = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(rep[pairs[:, 0]]), pa.array(rep[pairs[:, 1]])], ["a", "b"])
+
+    return link
+
+
+def _dense(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of components (``reps`` has rep, comp, sig) from regions in which ``neighbours`` compares few rows.
+
+    A region is a tree's rows that share LEAST places; one with more than REGION rows of several components is dense.
+    Components that meet in dense regions form a group, whose rows of such regions are compared completely: they are
+    dealt to blocks, and each pair of blocks is a task.
+    """
+    every = reps.select("rep", "comp", "sig").mapInArrow(_regions, "region long, rep long, comp long")
+    found = every.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    found = written(found.where((F.col("n") > REGION) & (F.col("low") < F.col("high"))).select("region", "low"), "dense")
+    rows = written(every.join(small_side(found), "region").select("rep", "comp", "low").distinct(), "members")
+    groups = written(connected(rows.select("comp", "low").distinct(), "comp", "low").toDF("comp", "group"), "groups")
+    rows = written(rows.select("rep", "comp").distinct().join(small_side(groups), "comp"), "members")
+    ids = small_side(rows.select("rep"))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
+    sets = texts.mapInArrow(_sets, "rep long, set binary").groupBy("rep").agg(F.max_by("set", F.length("set")).alias("set"))
+    rows = written(rows.join(reps.select("rep", "sig"), "rep").join(sets, "rep"), "sets")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("set")) / (8 * BLOCK_SHINGLES)))
+    counts = rows.groupBy("group").agg(blocks.cast("int").alias("blocks"))
+    dealt = rows.join(small_side(counts), "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "sig", "set")
+    links = written(dealt.groupBy("group", "i", "j").applyInArrow(_linked(percent), "a long, b long"), "links")
+    for t in (found, groups, rows):
+        drop(t)
+    return links
+
+
+def _joined(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """``reps`` with the components that ``links`` between representatives join."""
+    comps = reps.select("rep", "comp")
+    lift = links.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b")
+    roots = connected(lift.select("ca", "cb"), "ca", "cb").toDF("comp", "root")
+    return reps.join(roots, "comp", "left").select("fp", "rep", F.coalesce("root", "comp").alias("comp"), "sig")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``, by the forest named above.
 
@@ -166,11 +272,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
        three trees run alone; what they link is one component, and the other 29 trees only compare rows of
        different components, so a group of thousands gives a few pairs a row rather than all pairs.
     3. Candidates whose signatures agree are confirmed on full shingle sets made from the whole texts.
-    4. Components of the confirmed links; ``kept`` marks the smallest id of each.
+    4. Where more rows share 3 places than the neighbours cover, and several components are left among them, all
+       rows of different components are compared, see ``_dense``.
+    5. Components of the confirmed links; ``kept`` marks the smallest id of each.
 
     The candidate search is probabilistic: a pair at the limit, alone in its region, shares 3 places in one tree of
     32 at least with a chance of over 0.999; neighbours that fall on two range partitions miss each other in that
-    tree only. Every link returned is exact.
+    tree only, unless their region is dense. Every link returned is exact.
 
     Null and empty texts have 0 shingles and link with nothing. Rows with a null id are kept, with a null component.
     Ids are taken as unique; rows that repeat an id are judged each by its own text. Ids are integers.
@@ -185,9 +293,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     now = written(now.select("fp", "rep", "comp", "sig"), "reps")
     rest = _links(base, now, range(FIRST, TREES), percent, "doc_id", "text")
     # links of the first trees stand for their whole component; the later ones join components
-    lift = rest.join(now.select("rep", "comp").toDF("a", "ca"), "a").join(now.select("rep", "comp").toDF("b", "cb"), "b")
-    roots = connected(lift.select("ca", "cb"), "ca", "cb").toDF("comp", "root")
-    final = now.select("fp", "comp").join(roots, "comp", "left").select("fp", F.coalesce("root", "comp").alias("root"))
+    now = written(_joined(now, rest), "reps")
+    final = _joined(now, _dense(base, now, percent)).select("fp", F.col("comp").alias("root"))
     out = every.drop("sig").join(final, "fp", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -114,3 +114,37 @@ def test_neighbours_adapt_to_density():
     assert (0, 3) in pairs and (2, 4) not in pairs  # further only in small regions
     assert (40, 41) in pairs and (41, 42) not in pairs
     assert not len(minhash.neighbours(keys, np.zeros(len(keys)))[0])
+
+
+def test_copies_of_one_original_that_do_not_link_to_each_other(spark):
+    """Thousands of copies, each edited on its own, against all pairs by a matrix product."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(400)]
+    texts = [base] + [[word() if rng.random() < 0.02 else w for w in base] for _ in range(3000)]
+    ids = list(range(1, len(texts) + 1))
+    rng.shuffle(ids)
+    sets = [shingles(" ".join(t)) for t in texts]
+    seen = {s: k for k, s in enumerate(sorted(sets[0]))}
+    held = np.zeros((len(sets), len(seen)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [seen[x] for x in s if x in seen]] = 1
+    size = np.array([len(s) for s in sets])
+    common = held @ held.T  # words that two copies got alike are too rare to count
+    a, b = np.nonzero(100 * common >= 75 * (size[:, None] + size[None, :] - common))
+    up = roots([(ids[x], ids[y]) for x, y in zip(a.tolist(), b.tolist()) if x < y])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    wrong = [i for i in ids if got[i] != up.get(i, i)]
+    assert len(up) > 2000 and not wrong, (len(wrong), len(up))
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_blocks_are_compared_completely(sides):
+    rows = [(i, t) for i, t in fixture(2) if shingles(t)]
+    sets = [shingle_set(t) for _, t in rows]
+    n = len(sets)
+    side = np.arange(n) % 2 if sides else None
+    got = roots(minhash.linked(np.arange(n), side, np.array([signature(s) for s in sets]).astype(np.uint16), sets))
+    want = roots([(a, b) for a in range(n) for b in range(a) if (not sides or (a - b) % 2) and similar(sets[a], sets[b])])
+    assert got == want and len(want) > 300
