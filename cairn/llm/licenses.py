@@ -69,6 +69,13 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the words of ``words_of`` are; a letter may have a longer lower case."""
+    low = text.lower()
+    where = range(len(text) + 1) if len(low) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()] + [len(text)]
+    return [(where[m.start()], where[m.end() - 1] + 1) for m in _WORD.finditer(low)]
+
+
 def aligned(a: list[str], b: list[str]) -> tuple[int, int, int]:
     """(edits, begin, end): the stretch of ``b`` that all of ``a`` differs from by the fewest word edits."""
     prev = [(0, j) for j in range(len(b) + 1)]
@@ -129,11 +136,12 @@ class Scanner:
             done = hi
             yield lines[lo][0], lines[hi][1]
 
-    def judge(self, words: list[str]) -> tuple[str, float, int, int, str] | None:
-        """(license, reduction, edits, words, difference) of the best confirmed template, or None.
+    def judge(self, words: list[str]) -> tuple[str, float, int, int, str, int, int] | None:
+        """(license, reduction, edits, words, difference, begin, end) of the best confirmed template, or None.
 
         Templates are ranked by how much smaller the block gets with them as dictionary; of the three best, the one
-        with the fewest word edits per word wins. The shorter of block and template is aligned within the longer.
+        with the fewest word edits per word wins. The shorter of block and template is aligned within the longer;
+        begin and end tell the words of the block that are aligned.
         """
         data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
@@ -153,7 +161,7 @@ class Scanner:
                 told = difference(mine, theirs)
                 # another number is another version, so another license
                 if not re.search(r"\d", told):
-                    best = (share, (name, cut, edits, len(mine), told))
+                    best = (share, (name, cut, edits, len(mine), told, *((0, len(words)) if short is words else (a, b))))
         return best and best[1]
 
     def scan(self, text: str | None) -> Iterator[tuple]:
@@ -162,20 +170,28 @@ class Scanner:
             return
         n = 0
         for a, b in self.blocks(text):
-            # marked lines side by side may state a license each: the block as a whole first, then its lines
-            tries = [(a, b)]
-            if "\n" in text[a:b]:
-                at = a
-                lines = []
-                for line in text[a:b].split("\n"):
-                    lines.append((at, at + len(line)))
-                    at += len(line) + 1
-                if self._seen(text[a:b]) is None or len(lines) < 3 and all(self._seen(text[x:y]) for x, y in lines):
-                    tries = lines
-            for x, y in tries:
-                if got := self._seen(text[x:y]):
-                    yield n, x, y, *got
-                    n += 1
+            for x, y, got in self.statements(text, a, b):
+                yield n, x, y, *got
+                n += 1
+
+    def statements(self, text: str, a: int, b: int, told: frozenset[str] = frozenset()) -> Iterator[tuple[int, int, tuple]]:
+        """(start, end, hit) of each license in a span: it as a whole, else by lines, then what lies around each hit.
+
+        What lies around a hit that has no mark, or states a license again, belongs to the hit.
+        """
+        if got := self._seen(text[a:b]):
+            *hit, lo, hi = got
+            if hit[0] not in told:
+                yield a, b, tuple(hit)
+            at = [(a + x, a + y) for x, y in spans(text[a:b])]
+            told |= {hit[0]}
+            for x, y in ((a, at[lo][0]), (at[hi - 1][1], b)):
+                if _MARK.search(text, x, y):
+                    yield from self.statements(text, x, y, told)
+        elif "\n" in text[a:b]:
+            for line in text[a:b].split("\n"):
+                yield from self.statements(text, a, a + len(line), told)
+                a += len(line) + 1
 
     def _seen(self, raw: str):
         words = words_of(raw)
@@ -205,7 +221,8 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
     Candidate blocks are lines with a word of licensing, grown over neighbouring lines in the templates' vocabulary;
     each is compressed alone and with every template as raw dictionary, templates are ranked by the reduction, and
     the best three are compared word by word: a statement is confirmed if it differs from the template, or from the
-    stretch of it that it repeats, in 20% of its words at most, none of them a number. ``difference`` lists the differing words; start and
+    stretch of it that it repeats, in 20% of its words at most, none of them a number. What lies around a statement
+    in its block is judged in turn. ``difference`` lists the differing words; start and
     end are character offsets in the whole text.
 
     Nothing is shuffled; the scan for marks runs before Python and is the cost of a text without any. Null and empty

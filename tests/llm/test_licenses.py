@@ -48,6 +48,17 @@ def test_equal_to_brute_force_over_lines(spark):
     assert got == want and len(got) > 20
 
 
+def test_every_line_of_a_block_is_judged():
+    lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0."]
+    find = lambda text: sorted(h[3] for h in li.Scanner().scan(text))
+    assert find("\n".join(lines)) == ["Apache-2.0", "CC-BY-NC-4.0", "MIT"]
+    assert find("\n".join(["Copyright 2020 The Authors", *lines[:2]])) == ["CC-BY-NC-4.0", "MIT"]
+    assert find("\n".join(["Copyright 2020 The Authors", *lines])) == ["Apache-2.0", "CC-BY-NC-4.0", "MIT"]
+    assert find("İİ " + lines[0] + "\n" + "\n".join(lines[1:])) == ["Apache-2.0", "CC-BY-NC-4.0", "MIT"]
+    for name, texts in li.TEMPLATES.items():  # a body over several lines is still one statement
+        assert all(find(text.replace(", ", ",\n")) == [name] for text in texts)
+
+
 def test_alignment_and_difference():
     assert li.aligned(list("bcd"), list("abxcde")) == (1, 1, 5)
     assert li.difference("a b c".split(), "a x c d".split()) == "-b +x +d"
