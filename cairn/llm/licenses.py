@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -192,6 +194,39 @@ class Scanner:
             for line in text[a:b].split("\n"):
                 yield from self.statements(text, a, a + len(line), told)
                 a += len(line) + 1
+        else:
+            for x, y in self.within(text[a:b]):
+                if (got := self._seen(text[a + x : a + y])) and got[0] not in told:
+                    yield a + x, a + y, got[:5]
+
+    def within(self, line: str) -> list[tuple[int, int]]:
+        """The stretches of a line that are near to a whole template around one of its marks, to be judged by themselves.
+
+        The share of a size reduction falls with the words around a statement, so each template is looked for in the
+        window of its length on both sides of a mark. No template that differs in ``DIFFER`` of its words at most is
+        passed over: it shares the others with the window. Of stretches that overlap, the nearest is taken.
+        """
+        at, words = spans(line), words_of(line)
+        starts = [x for x, _ in at]
+        found = set()
+        for mark in {max(0, bisect_right(starts, m.start()) - 1) for m in _MARK.finditer(line)}:
+            for name, form, _ in self.forms:
+                far = len(form) + int(DIFFER * len(form))
+                lo, hi = max(0, mark - far), min(len(words), mark + far + 1)
+                window = words[lo:hi]
+                if len(form) < 3 or (Counter(form) & Counter(window)).total() < (1 - DIFFER) * len(form):
+                    continue
+                edits, x, y = aligned(form, window)
+                if edits <= DIFFER * len(form) and not re.search(r"\d", difference(window[x:y], form)):
+                    got = self._seen(line[at[lo + x][0] : at[lo + y - 1][1]])
+                    if got and got[0] == name:
+                        found.add((edits / len(form), -len(form), lo + x, lo + y))
+        free, out = [True] * len(words), []
+        for _, _, x, y in sorted(found):
+            if all(free[x:y]):
+                free[x:y] = [False] * (y - x)
+                out.append((at[x][0], at[y - 1][1]))
+        return sorted(out)
 
     def _seen(self, raw: str):
         words = words_of(raw)
@@ -222,7 +257,8 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
     each is compressed alone and with every template as raw dictionary, templates are ranked by the reduction, and
     the best three are compared word by word: a statement is confirmed if it differs from the template, or from the
     stretch of it that it repeats, in 20% of its words at most, none of them a number. What lies around a statement
-    in its block is judged in turn. ``difference`` lists the differing words; start and
+    in its block is judged in turn, and a line that is not confirmed is searched for whole templates around its marks.
+    ``difference`` lists the differing words; start and
     end are character offsets in the whole text.
 
     Nothing is shuffled; the scan for marks runs before Python and is the cost of a text without any. Null and empty

@@ -59,6 +59,19 @@ def test_every_line_of_a_block_is_judged():
         assert all(find(text.replace(", ", ",\n")) == [name] for text in texts)
 
 
+def test_statements_within_running_text():
+    rng = random.Random(2)
+    for name, texts in li.TEMPLATES.items():
+        for text in texts:
+            for before, after in ((10, 5), (20, 10), (80, 40), (400, 400)):
+                line = f"{noise(rng, before)} {text} {noise(rng, after)}"
+                assert {h[3] for h in li.Scanner().scan(line)} == {name}, (name, before)
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    line = f"{noise(rng, 60)} {mit} {noise(rng, 50)} {apache} {noise(rng, 60)}"
+    assert {(h[3], line[h[1] : h[2]]) for h in li.Scanner().scan(line)} == {("MIT", mit[:-1]), ("Apache-2.0", apache[:-1])}
+    assert not list(li.Scanner().scan(f"{noise(rng, 30)} Licensed under the Apache License, Version 3.0. {noise(rng, 30)}"))
+
+
 def test_alignment_and_difference():
     assert li.aligned(list("bcd"), list("abxcde")) == (1, 1, 5)
     assert li.difference("a b c".split(), "a x c d".split()) == "-b +x +d"
