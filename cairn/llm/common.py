@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,11 @@ BUCKET_ROWS = 8192
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests on one machine), a local one."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset and all runs in one process, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -38,11 +42,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame | None) -> None:
-    """Delete the table made by ``written``."""
-    path = getattr(df, "_cairn_path", None)
-    if path:
-        delete(df.sparkSession, path)
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``written``."""
+    for df in tables:
+        if path := getattr(df, "_cairn_path", None):
+            delete(df.sparkSession, path)
+
+
+def from_files(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of a file, so that it can be told by file and place there."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index").schema
+    except AnalysisException:
+        return False
+    return True
+
+
+def with_place(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` with (__path, __file, __at): the file, its hash and the row there, which tell rows apart whatever ids they have.
+
+    The place is the same each time the files are read. Rows that are not read from files are written first.
+    """
+    if not from_files(df):
+        df = written(df, name)
+    return df.select("*", F.col("_metadata.file_path").alias("__path"), F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -77,8 +100,8 @@ def ranked(
 
     ``key`` is a uniform 32-bit hash. The key range is cut into equal buckets of about ``rows_per_bucket`` rows; a
     bucket's rank offset comes from the counts of the buckets before it, and only rows of one (group, bucket) are
-    sorted together, so a group with a third of all rows is spread as evenly as any other. With ``size`` and
-    ``before``, also the sum of ``size`` over the rows ranked earlier.
+    sorted together, so a group with a third of all rows is spread as evenly as any other. Rows of one key share a
+    bucket: hash what tells rows apart. With ``size`` and ``before``, also the sum of ``size`` over the rows ranked earlier.
     """
     n = max(1, -(-total_rows // rows_per_bucket))
     cut = df.withColumn("__bucket", F.shiftright(F.col(key) * F.lit(n).cast("long"), 32))
