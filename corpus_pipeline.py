@@ -10,30 +10,49 @@ from cairn.llm.common import scratch_path, small_side, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    bad = kneser.quality(docs, kneser.trusted_ids(spark, sf_dir)).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id"))
-    return docs.join(small_side(written(bad.distinct(), "rejected")), docs["doc_id"] == F.col("__id"), "left_anti")
+    """Documents that the classifier rejects go, each row judged by itself, whatever its id.
+
+    Null and empty texts go; texts of any length are read whole; repeated rows and ids, ties at the threshold (kept)
+    and clashing columns are as in ``kneser.quality``; an empty table stays empty.
+    """
+    return kneser.with_quality(docs, kneser.trusted_ids(spark, sf_dir)).where("__kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id. Repeated rows of it stay too; ids are unique."""
+    """One document of each group stays: that with the smallest id.
+
+    Ids are unique; rows that repeat one go or stay together. Rows with a null id stay, as do null and empty texts,
+    which link with nothing. Whole texts count, however long. An empty table stays empty; extra columns are kept.
+    """
     gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"))
     return docs.join(small_side(written(gone, "copies")), docs["doc_id"] == F.col("__id"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each row judged by its own text, whatever its id.
+
+    Null and empty texts hold none and stay; long texts are searched whole; repeated rows are judged alike; an empty
+    table of either kind removes nothing; extra columns are kept.
+    """
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them; the order of the files and of the rows in them is the training order.
+
+    Null and empty texts have no words and are not taken; null ids, null sources and repeated rows are rows like
+    others; ties of position are in order of id; an empty table stays empty; extra columns are kept.
+    """
     return mixing.mix(docs).drop("position")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row of the mix with its shard and slot."""
-    return sharding.interleave(docs)
+    """Every row of the mix with its shard and slot: each shard matches the mixture and follows the training order.
+
+    Null ids, sources and texts and repeated rows are rows like others; an empty table stays empty; columns named
+    shard or slot are replaced, others kept.
+    """
+    return sharding.interleave(docs, in_order=True)
 
 
 STAGES = [
