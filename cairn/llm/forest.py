@@ -24,8 +24,8 @@ class Tree:
     """Random directions, one per level, and a threshold with a spill margin per node.
 
     A node with at least 16 sample rows is split at their median; rows within the margin, which holds ``spill`` of
-    the sample, go both ways. Deeper nodes are split at their nearest fitted ancestor's mean, without spill, so the
-    depth may grow with the table while the model stays as small as the sample.
+    the sample, go both ways. Deeper nodes are split at their nearest fitted ancestor's mean, with its margin, so every
+    level spills and the depth may grow with the table while the model stays as small as the sample.
     """
 
     def __init__(self, sample: np.ndarray, depth: int, spill: float, seed: int):
@@ -35,9 +35,9 @@ class Tree:
         at = sample @ self.axes
         self.cuts: list[tuple[np.ndarray, np.ndarray]] = []
         nodes = [np.arange(len(sample))]
-        means = [at.mean(axis=0) if len(at) else np.zeros(depth)]
+        means, margins = [at.mean(axis=0) if len(at) else np.zeros(depth)], [0.0]
         for level in range(depth):
-            cut, margin, below, below_means = np.empty(len(nodes)), np.zeros(len(nodes)), [], []
+            cut, margin, below, below_means, below_margins = np.empty(len(nodes)), np.array(margins), [], [], []
             fitted = False
             for k, (rows, mean) in enumerate(zip(nodes, means)):
                 x = at[rows, level]
@@ -50,11 +50,12 @@ class Tree:
                     cut[k] = mean[level]
                 below += [rows[x < cut[k]], rows[x >= cut[k]]]
                 below_means += [mean, mean]
+                below_margins += [margin[k], margin[k]]
             if not fitted:
                 break
             self.cuts.append((cut, margin))
-            nodes, means = below, below_means
-        self.means = np.array(means)
+            nodes, means, margins = below, below_means, below_margins
+        self.means, self.margins = np.array(means), np.array(margins)
         self.depth = depth
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +63,25 @@ class Tree:
         at = x @ self.axes
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
         for level in range(self.depth):
+            if level == len(self.cuts):
+                anchor = node.copy()
             if level < len(self.cuts):
-                cut, margin = self.cuts[level]
-                d = at[row, level] - cut[node]
-                near = np.abs(d) <= margin[node]
-                right = d >= 0
-                row, node = np.concatenate((row, row[near])), np.concatenate((2 * node + right, 2 * node[near] + ~right[near]))
+                cut, margin = (x[node] for x in self.cuts[level])
             else:
-                if level == len(self.cuts):
-                    anchor = node.copy()
-                node = 2 * node + (at[row, level] >= self.means[anchor, level])
+                cut, margin = self.means[anchor, level], self.margins[anchor]
+            d = at[row, level] - cut
+            near = np.abs(d) <= margin
+            right = d >= 0
+            row, node = np.concatenate((row, row[near])), np.concatenate((2 * node + right, 2 * node[near] + ~right[near]))
+            if level >= len(self.cuts):
+                anchor = np.concatenate((anchor, anchor[near]))
         return row, node
 
 
 def _unit(batch_col: pa.Array, dim: int) -> np.ndarray:
     x = batch_col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    # the largest component first, so that squares neither overflow nor vanish
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -189,9 +194,10 @@ def near_vectors(
     4. Components of those links.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different
-    lengths never link (one forest per length). Rows with a null id have a null component and are kept. Ids are
-    taken as unique integers; repeated rows count as other vectors. Recall against brute force is measured in the
-    tests; no link below ``cosine`` is returned.
+    lengths never link (one forest per length); components of any finite size count, as vectors are scaled by the
+    largest first. Rows with a null id have a null component and are kept. Ids are taken as unique integers; repeated
+    rows count as other vectors. An empty table gives an empty result; columns of other names are ignored, whatever
+    those are. Recall against brute force is measured in the tests; no link below ``cosine`` is returned, one at it is.
     """
     base = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>" if "float" in dict(table.dtypes)[vec_col] else "array<double>").alias("v"))
     bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) | ~F.exists("v", lambda e: e != 0)
@@ -228,6 +234,7 @@ def near_vectors(
 
 
 def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings; see ``near_vectors`` for nulls, zero and non-finite vectors, ties, repeated rows and empty tables."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

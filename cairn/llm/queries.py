@@ -9,6 +9,7 @@ def queries() -> dict:
     fns = (
         warc.op1_warc_chunks,
         urls.op4_redirect_equivalence,
+        urls.redirects_over_pages,
         kneser.op2_kneser_ney_quality,
         decontam.op3_pigeonhole_leaks,
         forest.op5_projection_forest,
@@ -25,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_chunks": warc.ORACLE,
         "op4_redirect_equivalence": urls.ORACLE,
+        "redirects_over_pages": urls.REDIRECTS_ORACLE,
         "op5_projection_forest": forest.ORACLE,
         "op6_interleaved_shards": sharding.ORACLE,
         "op8_curriculum_mix": mixing.ORACLE,

@@ -13,9 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, small_side, written
 
 CHUNK, ARCHIVE, BLOCK = 1 << 18, 1 << 30, 1 << 16
+#: The chunk of the query on pages.
+PAGE_CHUNK = 1 << 12
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long, bytes long"
@@ -43,7 +45,8 @@ def _b32(digest: bytes) -> str:
 class _Archives:
     """The archives that one task writes: a new file after ``ARCHIVE`` bytes, each under a temporary name until whole.
 
-    Final names carry partition and sequence only, so a repeated attempt replaces its own earlier files.
+    Names carry the attempt: a second attempt of a task may cut archives elsewhere, and those that the manifest does
+    not name are of attempts that did not finish.
     """
 
     def __init__(self, folder: str, part: int, attempt: int, level: int, most: int):
@@ -56,8 +59,8 @@ class _Archives:
         if self.out is not None and self.bytes >= self.most:
             self.close()
         if self.out is None:
-            self.name = f"{self.folder}/part-{self.part:06d}-{self.n:04d}.warc.gz"
-            self.tmp = f"{self.name}.{self.attempt}.tmp"
+            self.name = f"{self.folder}/part-{self.part:06d}-{self.n:04d}-{self.attempt}.warc.gz"
+            self.tmp = f"{self.name}.tmp"
             self.out, self.bytes, self.records, self.n = self.fs.open_output_stream(self.tmp), 0, 0, self.n + 1
             info = "software: cairn\r\nformat: WARC File Format 1.1\r\n"
             self.begin(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:archive:{self.part}-{self.n}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n{info}")
@@ -136,7 +139,9 @@ def write_archives(
     stream through. Payloads are strings (UTF-8) or binary; null counts as empty, a null url as urn:unknown, a null
     id sorts lowest and reads back as null. An empty table writes no archive.
 
-    Equal payloads are found by SHA-1 and length with partial aggregation; a hot payload is one row per task.
+    Equal payloads are found by SHA-1 and length with partial aggregation; a hot payload is one row per task. Payloads
+    stay where they are read as long as there are 2 million repeated ones at most; beyond that they shuffle by digest.
+    Columns of other names are ignored.
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
@@ -145,7 +150,7 @@ def write_archives(
     rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("uri"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
     heads = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    told = rows.join(heads, ["digest", "size"], "left").withColumn("head", F.when(~F.col("head").eqNullSafe(F.col("key")), F.col("head")))
+    told = rows.join(small_side(written(heads, "heads")), ["digest", "size"], "left").withColumn("head", F.when(~F.col("head").eqNullSafe(F.col("key")), F.col("head")))
     n = F.when(F.col("head").isNull(), F.greatest(F.lit(0), F.expr(f"(size - 1) div {chunk}"))).otherwise(0).cast("int")
     cut = told.withColumn("last_no", n).withColumn("no", F.explode(F.sequence(F.lit(0), F.col("last_no"))))
     data = F.when(F.col("head").isNull(), F.substring("payload", F.col("no") * chunk + 1, chunk))
@@ -234,6 +239,9 @@ def records(f, chunk: int = CHUNK, with_data: bool = True) -> Iterator[tuple]:
                 http[k.strip().lower()] = v.strip()
             length = int(http.get("content-length", size)) if kind == "revisit" else left
         if kind == "revisit":
+            # a block of its own, if it has one, is not the payload
+            while left > 0 and (got := s.take(min(left, BLOCK))):
+                left -= len(got)
             yield rid, kind, refers, 0, 0, None, told, True, length, None
         else:
             sha, no, at = hashlib.sha1(), 0, 0
@@ -281,9 +289,13 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, with_data: bool = Tru
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write every page as a WARC record, read the archives back, and report each record from its last chunk row."""
-    manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    got = read_archives(manifest, with_data=False).where("is_last")
+    """Write every page as a WARC record, read the archives back, and report each record from its last chunk row.
+
+    Chunks are small enough that larger pages have several. See ``write_archives`` for nulls, empty and very long
+    payloads, ties, repeated rows, empty tables and other columns.
+    """
+    manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), chunk=PAGE_CHUNK)
+    got = read_archives(manifest, PAGE_CHUNK, with_data=False).where("is_last")
     return got.select(
         F.col("record_id").cast("long").alias("page_id"),
         "payload_bytes",
@@ -303,5 +315,5 @@ SELECT page_id, n::BIGINT AS payload_bytes,
        list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[k // 8 + 1] >> (35 - 5 * (k % 8))) & 31)::INTEGER + 1, 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to,
-       (CASE WHEN page_id = top THEN greatest(0, (n - 1) // 262144) ELSE 0 END + 1)::INTEGER AS chunks FROM q
+       (CASE WHEN page_id = top THEN greatest(0, (n - 1) // 4096) ELSE 0 END + 1)::INTEGER AS chunks FROM q
 """

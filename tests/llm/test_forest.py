@@ -75,3 +75,18 @@ def test_depth_beyond_the_sample():
     t = forest.Tree(x[:200], 6, 0.05, 1)
     row, leaf = t.leaves(x)
     assert len(np.unique(leaf)) > 40 and set(row) == set(range(4000)) and np.bincount(leaf).max() < 400
+
+
+def test_tiny_and_huge_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1.1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [1.0, 0.2]), (5, [0.2, 1.0]), (6, [-1e300, 1e300]), (7, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (0, 5), 6: (0, 6), 7: (1, 4)}
+
+
+def test_every_level_spills():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(6000, 32))
+    t = forest.Tree(x[:100], 7, 0.1, 3)
+    row, leaf = t.leaves(x)
+    assert len(t.cuts) < 7 and len(row) > 6000 * 1.08**7 and len(np.unique(np.stack((row, leaf)), axis=1).T) == len(row)

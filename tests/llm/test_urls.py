@@ -64,4 +64,34 @@ def test_no_python_on_the_executors(spark):
 
 @pytest.mark.parametrize("html, target", [("<link rel=canonical href=http://h/p>", "http://h/p"), ("<link href='http://h/' rel='canonical' />", "http://h/"), ("<link rel=stylesheet href=/x><link rel=next>", "")])
 def test_canonical_links(spark, html, target):
-    assert spark.createDataFrame([(html,)], "h string").select(F.regexp_extract("h", urls.CANONICAL, 1)).first()[0] == target
+    assert spark.createDataFrame([(html,)], "h string").select(urls.value_of(F.regexp_extract("h", urls.CANONICAL, 0), urls.HREF)).first()[0] == target
+
+
+def test_targets(spark):
+    page = "HTTP://Site.example/a/b/page.html?x=1#f"
+    cases = [
+        ("page2.html", "HTTP://Site.example/a/b/page2.html"), ("../x", "HTTP://Site.example/a/x"), ("../../../x/./y/..", "HTTP://Site.example/x/"),
+        ("?id=1", "HTTP://Site.example/a/b/page.html?id=1"), ("/r/../s?q#z", "HTTP://Site.example/s?q"), ("//o.example/p", "HTTP://o.example/p"),
+        ("https://o.example/?a=1&amp;b=2", "https://o.example/?a=1&b=2"), ("x&#38;y&#x3d;z", "HTTP://Site.example/a/b/x&y=z"), ("mailto:a@b", None), ("#top", None), ("", None), (".", "HTTP://Site.example/a/b/"),
+    ]
+    df = spark.createDataFrame([(page, t) for t, _ in cases], "p string, t string")
+    got = [r[0] for r in df.select(urls.resolved(urls.unescaped(df.t), df.p)).collect()]
+    assert got == [w for _, w in cases]
+
+
+def test_all_links_of_a_page(spark):
+    html = """<html><head><BASE href='/sub/'><link rel="alternate canonical" href="one?a&amp;b"><LINK href=two rel=canonical>
+      <link rel=stylesheet href=no><meta http-equiv="refresh" content="5; url='http://far.example/x y'"><meta content='0;URL=three' http-equiv=Refresh></head>"""
+    df = spark.createDataFrame([(1, "http://h.example/p/q", html, 1), (2, None, html, 1), (3, "http://h.example/z", None, 1), (4, "http://h.example/z", "", 1)], "page_id long, url string, html string, f int")
+    got = sorted(r.t for r in urls.links_of(df, "url", "html").collect())
+    assert got == ["http://far.example/x", "http://h.example/sub/one?a&b", "http://h.example/sub/three", "http://h.example/sub/two"]
+
+
+def test_equal_urls_with_conflicting_edges(spark):
+    link = "<link rel=canonical href='http://{}/'>".format
+    rules = (("block", "bad.example", "/"), ("block", "worse.example", "/"), ("allow", "good.example", "/"))
+    rows = [(1, "http://x.example/", link("bad.example")), (2, "http://x.example/", link("good.example")), (3, "http://y.example/", link("worse.example")), (4, "http://y.example/", None), (None, "http://y.example/", "z" * 500_000)]
+    df = spark.createDataFrame([(*r, "v") for r in rows], "page_id long, url string, html string, verdict string")
+    got = {r.page_id: r.verdict for r in urls.judge(df, rules).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block", 4: "block", None: "block"}
+    assert urls.judge(df.where("false"), rules).count() == 0

@@ -78,3 +78,23 @@ def test_plain_and_truncated_archives():
         raise AssertionError
     except EOFError:
         pass
+
+
+def test_a_revisit_with_a_block_is_skipped():
+    head = b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n"
+    body = b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"
+    revisit = b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:record:8>\r\nWARC-Refers-To: <urn:record:7>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(head + body) + head + body + b"\r\n\r\n"
+    got = [(r[0], r[1], r[2], r[8]) for r in warc.records(io.BytesIO(revisit * 2))]
+    assert got == [("8", "revisit", "7", 9)] * 2
+
+
+def test_the_query_cuts_pages_into_chunks(spark):
+    got = warc.op1_warc_chunks(spark, "/root/testdata/sf0.001")
+    assert got.where("record_type = 'response' and chunks > 1").count() > 0
+    assert got.where(f"record_type = 'response' and chunks <> greatest(1, ceil(payload_bytes / {warc.PAGE_CHUNK}))").count() == 0
+
+
+def test_names_are_of_one_attempt(spark, tmp_path):
+    a, b = (warc.write_archives(pages(spark), f"file://{tmp_path}/{k}") for k in "xy")
+    assert all(r.path.endswith(".warc.gz") and len(r.path.rsplit("/", 1)[1].split("-")) == 4 for r in a.collect())
+    assert sorted(map(str, warc.read_archives(a).collect())) == sorted(map(str, warc.read_archives(b).collect()))
