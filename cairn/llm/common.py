@@ -7,7 +7,6 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +49,11 @@ def drop(*tables: DataFrame | None) -> None:
 
 
 def from_files(df: DataFrame) -> bool:
-    """Whether each row of ``df`` is a row of a file, so that it can be told by file and place there."""
-    try:
-        df.select("_metadata.file_path", "_metadata.row_index").schema
-    except AnalysisException:
-        return False
-    return True
+    """Whether each row of ``df`` is a row of one of its files: a scan with columns chosen and rows filtered, no more."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation") and bool(df.inputFiles())
 
 
 def with_place(df: DataFrame, name: str = "rows") -> DataFrame:
