@@ -10,7 +10,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize, tokens_of
+from ..functions.text import folded, tokenize, tokens_of
 from . import filters
 
 PAGE = 50
@@ -70,9 +70,10 @@ def plan(q: Query) -> Plan:
 def has_terms(tokens: tuple[str, ...], match: str = "all") -> Column:
     """Predicate on ``message``. A cheap substring test runs first, so that few messages are split into tokens."""
     join = and_ if match == "all" else or_
-    low, words = F.lower("message"), tokenize(F.col("message"))
+    low, wanted = folded(F.col("message")), F.array(*[F.lit(t) for t in tokens])
     cheap = reduce(join, [low.contains(t) for t in tokens])
-    exact = F.forall(F.array(*[F.lit(t) for t in tokens]), lambda t: F.array_contains(words, t)) if match == "all" else F.arrays_overlap(words, F.array(*[F.lit(t) for t in tokens]))
+    # the message is split once, whatever the number of tokens
+    exact = F.size(F.array_intersect(tokenize(F.col("message")), wanted)) >= (len(tokens) if match == "all" else 1)
     return F.when(cheap, exact).otherwise(F.lit(False))
 
 
@@ -111,7 +112,7 @@ def by_id(logs: DataFrame, key: str) -> DataFrame:
     return logs.where(F.col("id") == key)
 
 
-def current_logs(logs: DataFrame) -> DataFrame:
-    """The last ingested version of each id; ``seq`` is the order of ingestion."""
-    cols = [c for c in logs.columns if c not in ("id", "seq")]
-    return logs.groupBy("id").agg(F.max_by(F.struct(*cols), "seq").alias("__v")).select("id", "__v.*")
+def current_logs(logs: DataFrame, *order: str) -> DataFrame:
+    """The last ingested version of each id; ``order`` names the columns that tell the order of ingestion."""
+    cols = [c for c in logs.columns if c != "id" and c not in order]
+    return logs.groupBy("id").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__v")).select("id", "__v.*")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +11,12 @@ from ..functions.text import STOP_WORDS
 from ..operators import filters, histogram, kv
 from ..operators import search as s
 from ..operators.search import Query
-from ..sources.json_ingest import completed, from_lines, split, to_json
+from ..sources import wal
+from ..sources.json_ingest import completed, from_bodies, from_lines, split, to_json
 from ..sources.views import document_logs, event_logs, event_mutations
 from . import stats
+from .engine import Engine, SearchEngine
+from .files import scratch
 from .storage import Options, Store
 
 FLAT = ("id", "timestamp", "level", "service", "host", "message")
@@ -115,9 +115,10 @@ def hist_7m(spark: SparkSession, d: str) -> DataFrame:
     return histogram.counts(event_logs(spark, d), parse_interval("7m"))
 
 
-@_query(f"WITH {EVENTS}, n AS (SELECT * FROM e ORDER BY timestamp DESC, id LIMIT 100000) SELECT timestamp // 86400000000000 * 86400000000000 AS bucket, count(*) AS count FROM n GROUP BY ALL")
-def hist_capped_100k(spark: SparkSession, d: str) -> DataFrame:
-    return histogram.counts(event_logs(spark, d), parse_interval("24h"), max_hits=100_000)
+@_query(f"WITH {EVENTS}, n AS (SELECT * FROM e ORDER BY timestamp DESC, id LIMIT 700) SELECT timestamp // 3600000000000 * 3600000000000 AS bucket, count(*) AS count FROM n GROUP BY ALL")
+def hist_capped(spark: SparkSession, d: str) -> DataFrame:
+    """The cap is the feature: a histogram of the newest hits only."""
+    return histogram.counts(event_logs(spark, d), parse_interval("1h"), max_hits=700)
 
 
 @_query(f"WITH {EVENTS}, c AS (SELECT timestamp // 86400000000000 * 86400000000000 AS bucket, count(*) AS count FROM e GROUP BY ALL) SELECT bucket, count, repeat('█', greatest(1, count * 40 // max(count) OVER ())::INTEGER) AS bar FROM c")
@@ -189,9 +190,21 @@ def search_service_mixed_case(spark: SparkSession, d: str) -> DataFrame:
     return s.search(document_logs(spark, d), Query("this", service="SRC0")).select(*FLAT)
 
 
-@_query(f"WITH {DOCS} SELECT {COLS} FROM d WHERE service = 'SRC0' LIMIT 50")
+@_query(f"WITH {DOCS} SELECT {COLS} FROM d WHERE service = 'src0' ORDER BY timestamp DESC, id LIMIT 50")
 def search_service_alone(spark: SparkSession, d: str) -> DataFrame:
-    return s.search(document_logs(spark, d), Query(service="SRC0")).select(*FLAT)
+    """A service on its own is matched as it is written."""
+    return s.search(document_logs(spark, d), Query(service="src0")).select(*FLAT)
+
+
+@_query(f"""WITH {DOCS}, {TOKENS} SELECT id, timestamp, message FROM t WHERE id::BIGINT % 10 <> 0 AND list_has_all(tokens, ['license', 'version'])
+    UNION ALL SELECT id, timestamp, 'license of a new version' FROM t WHERE id::BIGINT % 10 = 0""")
+def search_engine_hits(spark: SparkSession, d: str) -> DataFrame:
+    """An engine's postings and versions: every tenth log is ingested again with another message."""
+    engine = SearchEngine(spark, f"{scratch(spark)}/logs")
+    logs = document_logs(spark, d)
+    engine.ingest(from_lines(to_json(logs.where("message <> ''"))), "first")
+    engine.ingest(from_lines(to_json(logs.where("id % 10 = 0").withColumn("message", F.lit("license of a new version")))), "second")
+    return engine.hits(Query("license version")).select("id", "timestamp", "message")
 
 
 @_query(f"WITH {DOCS}, {TOKENS} SELECT count(*) AS total_hits FROM t WHERE list_has_any(tokens, ['gnu', 'apache'])")
@@ -244,13 +257,12 @@ def kv_multiway_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def _store(spark: SparkSession, d: str, flushes: int, **options) -> Store:
     """A store with all event mutations, in flushes by time."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cairn-store-")
-    store = Store(spark, f"{root}/store-{uuid.uuid4().hex}", Options(**options))
+    store = Store(spark, f"{scratch(spark)}/store", Options(**options))
     m = event_mutations(spark, d)
     lo, hi = m.agg(F.min("ts"), F.max("ts")).first()
     step = (hi - lo) // flushes + 1
     for i in range(flushes):
-        store.flush(m.where((F.col("ts") >= lo + i * step) & (F.col("ts") < lo + (i + 1) * step)), batch=f"b{i}")
+        store.flush(m.where((F.col("ts") >= lo + i * step) & (F.col("ts") < lo + (i + 1) * step)), f"b{i}")
     return store
 
 
@@ -273,6 +285,27 @@ def level_sizes(spark: SparkSession, d: str) -> DataFrame:
     return stats.levels(store.tables()).select("level", "entries")
 
 
+@_query(ORACLES["kv_get"])
+def kv_store_get(spark: SparkSession, d: str) -> DataFrame:
+    """A point read of a store with two levels: tables are pruned by key range, row groups by Bloom filter."""
+    store = _store(spark, d, 3, l0_trigger=2)
+    store.compact_all()
+    store.flush(event_mutations(spark, d).where("key = encode('17', 'UTF-8')"))
+    return _kv_rows(store.get(b"17"))
+
+
+@_query(f"""WITH {KV}, n AS (SELECT count(*) FILTER (op = 1) AS live FROM newest) SELECT 4::BIGINT AS flushes, 1::BIGINT AS compactions, live AS entries,
+    (SELECT count(*) FROM events) - live AS entries_dropped, true AS amplified, 1.0::DOUBLE AS space_amplification FROM n""")
+def amplification(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of a store after its first compaction: all of it lies below level 0, and was written twice."""
+    store = _store(spark, d, 4)
+    store.compact_all()
+    g = stats.gauges(store)
+    twice = g["write_amplification"] * g["logical_bytes"] == g["flush_bytes"] + g["compaction_bytes"] and g["compaction_read_bytes"] == g["flush_bytes"]
+    row = (g["flushes"], g["compactions"], g["entries"], g["entries_dropped"], twice and g["write_amplification"] > 0, g["space_amplification"])
+    return spark.createDataFrame([row], "flushes long, compactions long, entries long, entries_dropped long, amplified boolean, space_amplification double")
+
+
 @_query(f"""WITH {KV}, r AS (SELECT ts // 86400000000000 AS table_id, min(key) AS lo, max(key) AS hi, count(*) AS entry_count FROM m GROUP BY 1)
     SELECT table_id, entry_count FROM r WHERE NOT (hi < '3' OR lo > '4')""")
 def overlap_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -315,7 +348,10 @@ def ingest_defaults(spark: SparkSession, d: str) -> DataFrame:
     return completed(gaps, now_ns=99).select("id", "timestamp", "level", "service")
 
 
-@_query()
+@_query(f"""WITH {EVENTS}, crc AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8),
+        lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t), h AS (SELECT id, hex(encode(message)) AS h FROM e)
+    SELECT id, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+        lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]::BIGINT)))::BIGINT AS crc FROM h, crc""")
 def crc32_check(spark: SparkSession, d: str) -> DataFrame:
     return event_logs(spark, d).select("id", codec.checksum(F.encode("message", "UTF-8")).alias("crc"))
 
@@ -326,3 +362,78 @@ def bloom_no_false_negative(spark: SparkSession, d: str) -> DataFrame:
     bits, hashes = bloom.shape(100_000)
     told = bloom.might_contain(keys, "key", bloom.build(keys, "key", bits, hashes), bits, hashes)
     return told.agg(F.count(F.lit(1)).alias("added"), F.sum((~F.col("maybe")).cast("long")).alias("missed"))
+
+
+@_query("SELECT count(*) AS probes, true AS rare FROM events")
+def bloom_false_positives(spark: SparkSession, d: str) -> DataFrame:
+    """As many absent keys as present ones: at most 3% may be taken for present, at a design rate of 1%."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    keys = e.select(F.concat(F.lit("item_key_"), "event_id").alias("key"))
+    bits, hashes = bloom.shape(keys.count(), 0.01)
+    absent = e.select(F.concat(F.lit("absent_item_"), "event_id").alias("key"))
+    told = bloom.might_contain(absent, "key", bloom.build(keys, "key", bits, hashes), bits, hashes)
+    return told.agg(F.count(F.lit(1)).alias("probes"), (F.avg(F.col("maybe").cast("double")) <= 0.03).alias("rare"))
+
+
+@_query("""SELECT 'e' || event_id AS id, '' AS error FROM events WHERE event_id % 5 <> 3
+    UNION ALL SELECT 'f' || event_id, '' FROM events WHERE event_id % 5 = 1
+    UNION ALL SELECT '', 'message is empty' FROM events WHERE event_id % 5 = 0
+    UNION ALL SELECT 'e' || event_id, 'fields: wrong type' FROM events WHERE event_id % 5 = 3
+    UNION ALL SELECT '', 'not a JSON object' FROM events WHERE event_id % 5 = 4""")
+def ingest_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Request bodies of each kind: arrays, an object per line, one object on several lines, wrong types, arrays with null."""
+    n = F.col("event_id")
+    one = lambda c: F.concat(F.lit('{"id":"' + c), n, F.lit('","message":"m"}'))
+    body = (
+        F.when(n % 5 == 0, F.concat(F.lit("["), one("e"), F.lit(',{"message":""}]')))
+        .when(n % 5 == 1, F.concat(one("e"), F.lit("\n\n"), one("f"), F.lit("\n")))
+        .when(n % 5 == 2, F.concat(F.lit('{\n  "id": "e'), n, F.lit('",\n  "message": "m"\n}')))
+        .when(n % 5 == 3, F.concat(F.lit('{"id":"e'), n, F.lit('","message":"m","fields":{"a":1}}')))
+        .otherwise(F.concat(F.lit("[null,"), one("e"), F.lit("]")))
+    )
+    got = from_bodies(spark.read.parquet(f"{d}/events.parquet").select(body.alias("value")))
+    return got.select(F.coalesce("id", F.lit("")).alias("id"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+# -- mutation logs
+
+
+def _wal(spark: SparkSession, d: str, segments: int) -> str:
+    """A folder of log segments with all event mutations, dealt by sequence number."""
+    folder = f"{scratch(spark)}/wal"
+    m = event_mutations(spark, d)
+    for i in range(segments):
+        wal.write_wal(m.where(F.col("seq") % segments == i).coalesce(1), folder, i + 1)
+    return folder
+
+
+@_query(f"WITH {KV} SELECT key, coalesce(value, '') AS value, ts, op::TINYINT AS op FROM m")
+def wal_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Mutations to framed segments and back."""
+    rows = wal.read_wal(spark, _wal(spark, d, 2))
+    return rows.select(F.decode("key", "UTF-8").alias("key"), F.coalesce(F.decode("value", "UTF-8"), F.lit("")).alias("value"), "ts", "op")
+
+
+@_query(f"WITH {KV} SELECT key, value, ts FROM newest WHERE op = 1")
+def wal_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The state of an engine that recovers twice, a segment more the second time."""
+    folder, engine = _wal(spark, d, 3), Engine(spark, f"{scratch(spark)}/kv")
+    engine.recover(folder, "*000001.log")
+    engine.recover(folder)
+    return _kv_rows(engine.store.current()).select("key", "value", "ts")
+
+
+@_query("""SELECT event_id % 3 + 1 AS segment, count(*) AS valid_records, event_id % 3 > 0 AS corruption_detected,
+    CASE event_id % 3 WHEN 1 THEN 'truncated_tail' WHEN 2 THEN 'bad_length' END AS corruption_type, event_id % 3 > 0 AS file_truncated FROM events GROUP BY event_id % 3""")
+def wal_report(spark: SparkSession, d: str) -> DataFrame:
+    """Three segments: a whole one, one with half a header at its end, one whose last header claims too much."""
+    from pyarrow import fs
+
+    folder = _wal(spark, d, 3)
+    for segment, tail in ((2, b"\x00\x00\x00\x01"), (3, b"\x00\x00\x00\x01\xff\xff\xff\xff")):
+        where, name = fs.FileSystem.from_uri(f"{folder}/wal_{segment:06d}.log")
+        with where.open_append_stream(name) as out:
+            out.write(tail)
+    report = wal.recovery_report(spark, folder)
+    segment = F.regexp_extract("path", r"(\d+)\.log$", 1).cast("long").alias("segment")
+    return report.select(segment, "valid_records", "corruption_detected", "corruption_type", "file_truncated")

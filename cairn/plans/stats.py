@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Store
 
+#: Buckets of the range of values for percentiles.
+BUCKETS = 200
+
 
 def levels(tables: DataFrame) -> DataFrame:
     """(level, tables, entries, bytes) of a manifest table."""
@@ -42,13 +45,18 @@ def prometheus(values: dict[str, float], prefix: str = "cairn_") -> str:
 
 
 def latency_percentiles(samples: DataFrame, col: str, percents: tuple[float, ...] = (50, 95, 99, 99.9)) -> DataFrame:
-    """Percentiles by index into the sorted samples (no interpolation), on distributed ranks of equal values.
+    """Percentiles by index into the sorted samples (no interpolation).
 
-    Samples are counted per value first; the running count runs over distinct values.
+    Samples are counted per value; the range of values is cut into buckets at approximate percentiles, so that running
+    counts are taken within a bucket, after the counts of the buckets before it, and no task has all values.
     """
-    from pyspark.sql import Window
-
-    per = samples.groupBy(F.col(col).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    run = per.withColumn("upto", F.sum("n").over(Window.orderBy("x"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    per = samples.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    cuts = per.agg(F.percentile_approx("x", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS)).first()[0] or []
+    cuts = sorted(set(cuts))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("x"))) if cuts else F.lit(0)
+    per = per.withColumn("bucket", bucket)
+    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = per.groupBy("bucket").agg(F.sum("n").alias("m")).select("bucket", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    run = per.join(F.broadcast(counts), "bucket").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("bucket").orderBy("x")))
     at = lambda p: F.min(F.when(F.col("upto") > F.expr(f"total * {round(p * 10)}L div 1000L"), F.col("x")))
     return run.agg(*[at(p).alias(f"p{str(p).replace('.', '_')}") for p in percents])

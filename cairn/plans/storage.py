@@ -14,6 +14,7 @@ from ..functions.codec import entry_size
 from ..operators import kv
 from ..operators.filters import key_range
 from ..schemas import DELETE, KV_MUTATION, TABLE_META
+from .files import Folder
 
 LEVELS = 7
 
@@ -28,6 +29,8 @@ class Options:
     level1_bytes: int = 10 << 20
     #: Manifest versions that stay readable; files that none of them names may be removed.
     keep_versions: int = 5
+    #: A folder younger than this may be of a write that is not committed yet; it is never removed.
+    vacuum_age_s: int = 86_400
 
     def level_bytes(self, level: int) -> int:
         return self.level1_bytes * 10 ** (level - 1)
@@ -110,37 +113,22 @@ class Store:
         self.spark, self.root, self.options = spark, root.rstrip("/"), options or Options()
         #: Read without Bloom filters, to measure what they save.
         self.bypass_bloom = False
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/manifest"))
+        self._log = Folder(spark, f"{self.root}/manifest")
 
     # -- manifest
 
     def versions(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/manifest"))]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+        return [int(n[:-5]) for n in self._log.names() if n.endswith(".json") and n[:-5].isdigit()]
 
     def manifest(self, version: int | None = None) -> Manifest:
         found = self.versions()
         if version is None:
             version = found[-1] if found else 0
-        if version == 0:
-            return Manifest()
-        stream = self._fs.open(self._path(f"{self.root}/manifest/{version:020d}.json"))
-        try:
-            return Manifest.parse(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return Manifest.parse(self._log.read(f"{version:020d}.json")) if version else Manifest()
 
     def _commit(self, m: Manifest) -> Manifest:
         m.version += 1
-        tmp, final = (self._path(f"{self.root}/manifest/{name}") for name in (f"{uuid.uuid4().hex}.tmp", f"{m.version:020d}.json"))
-        out = self._fs.create(tmp, False)
-        out.write(m.dump().encode())
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(tmp, final):
-            self._fs.delete(tmp, False)
+        if not self._log.create(f"{m.version:020d}.json", m.dump()):
             raise Conflict(f"version {m.version} exists")
         return m
 
@@ -170,15 +158,15 @@ class Store:
             m.next_id += 1
         return out
 
-    def flush(self, mutations: DataFrame, batch: str | None = None) -> Manifest:
-        """Append mutations as level-0 tables. A batch id that is in already is skipped, so retries are safe."""
+    def flush(self, mutations: DataFrame, *batches: str | None) -> Manifest:
+        """Append mutations as level-0 tables. If all their batch ids are in already nothing is done, so retries are safe."""
         m = self.manifest()
-        if batch is not None and batch in m.batches:
+        batches = [b for b in batches if b is not None]
+        if batches and all(b in m.batches for b in batches):
             return m
         tables = self._write(kv.checked(mutations), 0, m)
         m.tables += tables
-        if batch is not None:
-            m.batches[batch] = m.version + 1
+        m.batches |= {b: m.version + 1 for b in batches}
         for k, v in (("flushes", 1), ("logical_bytes", sum(t.logical_size for t in tables)), ("flush_bytes", sum(t.data_size for t in tables))):
             m.counters[k] = m.counters.get(k, 0) + v
         return self._commit(m)
@@ -230,18 +218,20 @@ class Store:
         return n
 
     def vacuum(self) -> int:
-        """Remove files that none of the last versions names, and older manifests; returns the number of files."""
+        """Remove files that none of the last versions names, and older manifests; returns the number of folders removed.
+
+        What a running write has made but not committed yet is told by its age and stays.
+        """
         versions = self.versions()
         kept = versions[-self.options.keep_versions :]
         named = {t.path.rsplit("/", 2)[-2] for v in kept for t in self.manifest(v).tables}
-        data, n = self._path(f"{self.root}/data"), 0
-        if self._fs.exists(data):
-            for s in self._fs.listStatus(data):
-                if s.getPath().getName() not in named:
-                    self._fs.delete(s.getPath(), True)
-                    n += 1
+        data, n, now = Folder(self.spark, f"{self.root}/data"), 0, time.time()
+        for name in data.names():
+            if name not in named and now - data.fs.getFileStatus(data.of(name)).getModificationTime() / 1000 >= self.options.vacuum_age_s:
+                data.delete(name)
+                n += 1
         for v in versions[: -self.options.keep_versions]:
-            self._fs.delete(self._path(f"{self.root}/manifest/{v:020d}.json"), False)
+            self._log.delete(f"{v:020d}.json")
         return n
 
     def tables(self, version: int | None = None) -> DataFrame:

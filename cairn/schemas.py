@@ -38,7 +38,7 @@ TABLE_META = T.StructType(
         T.StructField("created_at", T.LongType()),
     ]
 )
-RECOVERY = "path string, valid_records long, bytes_recovered long, corruption_detected boolean, corruption_type string, corruption_offset long, file_truncated boolean"
+RECOVERY = "path string, valid_records long, bytes_recovered long, corruption_detected boolean, corruption_type string, corruption_offset long, file_truncated boolean, length long, crc long"
 
 PUT, DELETE = 1, 2
 #: Key lengths are stored in 16 bits by the frame format.

@@ -85,7 +85,7 @@ def test_tombstones_stay_above_older_levels(spark, tmp_path):
 
 
 def test_snapshots_batches_and_vacuum(spark, tmp_path):
-    s = Store(spark, f"file://{tmp_path}/kv", Options(keep_versions=1, l0_trigger=2))
+    s = Store(spark, f"file://{tmp_path}/kv", Options(keep_versions=1, l0_trigger=2, vacuum_age_s=0))
     s.flush(kv.puts(spark, [(b"a", b"1")], 1), "b1")
     s.flush(kv.puts(spark, [(b"a", b"2")], 2), "b1")
     assert len(s.versions()) == 1 and state(s.current()) == {b"a": b"1"}
@@ -136,7 +136,7 @@ def test_recovery(spark, tmp_path):
     for i, (_, data, *_) in enumerate(WAL):
         (folder / f"{i + 2}.wal").write_bytes(data)
     (folder / "99.wal").write_bytes(b"")  # an empty segment has no row
-    got = {wal.segment_number(r.path) - 2: r for r in wal.recovery_report(spark, f"file://{folder}/*.wal").collect()}
+    got = {wal.segment_number(r.path) - 2: r for r in wal.recovery_report(spark, f"file://{folder}").collect()}
     for i, (name, data, n, kind, cut) in enumerate(WAL):
         r = got[i]
         assert (r.valid_records, r.corruption_type, r.file_truncated, r.corruption_detected) == (n, kind, cut, kind is not None), name
@@ -145,10 +145,58 @@ def test_recovery(spark, tmp_path):
     rows = wal.read_wal(spark, f"file://{folder}")
     assert rows.count() == sum(x[2] for x in WAL)
     assert rows.where("segment = 2").agg(F.max("ts")).first()[0] == 499
-    assert [r.segment for r in wal.segments(spark, f"file://{folder}/*.wal").collect()] == list(range(2, 2 + len(WAL)))
+    assert [r.segment for r in wal.segments(spark, f"file://{folder}").collect()] == list(range(2, 2 + len(WAL)))
     assert len(state(kv.current(rows.select("key", "value", "ts", "seq", "op")))) == 500
 
 
+def test_segments_that_come_or_grow_later_are_recovered(spark, tmp_path):
+    folder = tmp_path / "wal"
+    folder.mkdir()
+    put = lambda k, v, ts: encode_frame(k, v, ts, 1)
+    e = Engine(spark, f"file://{tmp_path}/kv")
+    (folder / "wal_000001.log").write_bytes(put(b"a", b"1", 1))
+    assert [r.valid_records for r in e.recover(f"file://{folder}").collect()] == [1]
+    (folder / "wal_000002.log").write_bytes(put(b"b", b"1", 2))
+    assert len(e.recover(f"file://{folder}").collect()) == 2 and dict(e.scan()) == {b"a": b"1", b"b": b"1"}
+    (folder / "wal_000002.log").write_bytes(put(b"b", b"1", 2) + put(b"c", b"1", 3))
+    e.recover(f"file://{folder}")
+    n = len(e.store.versions())
+    e.recover(f"file://{folder}")  # nothing new: no commit
+    assert dict(e.scan()) == {b"a": b"1", b"b": b"1", b"c": b"1"} and len(e.store.versions()) == n
+    assert e.recover(f"file://{folder}", "*1.log").count() == 1
+
+
+def test_written_segments_read_back(spark, tmp_path):
+    rows = kv.merge(kv.puts(spark, [(b"k%03d" % i, b"v" * (i % 5)) for i in range(100)], 7), kv.deletes(spark, [b"k001"], 8)).repartition(4)
+    told = wal.write_wal(rows, f"file://{tmp_path}/w", first=3)
+    assert sum(r.records for r in told.collect()) == 101 and (tmp_path / "w" / "wal_000003.log").exists()
+    back = wal.read_wal(spark, f"file://{tmp_path}/w")
+    read = lambda df: sorted((bytes(r.key), bytes(r.value or b""), r.ts, r.op) for r in df.collect())
+    assert read(back) == read(rows) and not wal.recovery_report(spark, f"file://{tmp_path}/w").where("corruption_detected").count()
+
+
+def test_one_writer_creates_a_file(spark, tmp_path):
+    from cairn.plans.files import Folder
+
+    f = Folder(spark, f"file://{tmp_path}/x")
+    assert f.create("1", "a") and not f.create("1", "b") and f.read("1") == "a" and f.names() == ["1"]
+
+
+def test_vacuum_leaves_what_is_young(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/kv", Options(keep_versions=1))
+    s.flush(kv.puts(spark, [(b"a", b"1")], 1))
+    kv.puts(spark, [(b"b", b"1")], 1).write.parquet(f"file://{tmp_path}/kv/data/uncommitted")
+    assert s.vacuum() == 0 and (tmp_path / "kv/data/uncommitted").exists()
+
+
+def test_percentiles_equal_sorting(spark):
+    rng = random.Random(1)
+    for xs in ([5], [1] * 900 + [2] * 100, [rng.randrange(10**6) for _ in range(5000)] + [7] * 3000 + [None]):
+        got = stats.latency_percentiles(spark.createDataFrame([(x,) for x in xs], "x long"), "x").first()
+        own = sorted(x for x in xs if x is not None)
+        assert list(got) == [own[len(own) * k // 1000] for k in (500, 950, 990, 999)]
+
+
 def test_decode_error(tmp_path):
     import io
     import struct

@@ -153,3 +153,70 @@ def test_filters_reach_the_scan(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(timestamp,5)" in plan.split("PushedFilters")[1]
     assert "ReadSchema: struct<id:string,timestamp:bigint,service:string>" in plan
+
+
+def test_all_ways_fold_alike(spark, tmp_path):
+    rows = [("a", 5, "INFO", "s", "", "\u0130STANBUL opened", {}), ("b", 6, "INFO", "s", "", "istanbul stays", {})]
+    logs = spark.createDataFrame(rows, LOG)
+    for text in ("istanbul", "\u0130stanbul", "ISTANBUL"):
+        assert [r.id for r in s.search(logs, Query(text)).collect()] == ["b", "a"] == [r.id for r in s.search(logs, Query(text), s.postings(logs)).collect()]
+
+
+def test_versions_of_many_partitions(spark, tmp_path):
+    e = SearchEngine(spark, f"file://{tmp_path}/logs")
+    lines = spark.range(0, 130, 1, 130).selectExpr("concat('{\"message\":\"m', id, '\",\"timestamp\":', id + 1, ',\"id\":\"', if(id in (5, 129), 'same', string(id)), '\"}') as value")
+    assert e.ingest(json_ingest.from_lines(lines)) == (130, 0)
+    assert e.get("same")["message"] == "m129" and e.logs().count() == 129
+
+
+def test_writers_at_once(spark, tmp_path):
+    """Two writers that saw the same last batch get two numbers; one batch id is in once."""
+    import threading
+
+    root = f"file://{tmp_path}/logs"
+    got = []
+
+    def write(k):
+        got.append(SearchEngine(spark, root).ingest_json(json.dumps([{"id": f"{k}", "message": f"writer {k}"}, {"id": "same", "message": "x"}]), batch="dup" if k > 1 else None))
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    e = SearchEngine(spark, root)
+    assert [n for n, *_ in e.batches()] == [1, 2, 3] and sorted(got) == [(0, 0), (2, 0), (2, 0), (2, 0)] and e.search(Query("writer"))["total_hits"] == 3
+
+
+def test_queries_use_the_index_and_the_days(spark, tmp_path):
+    e = SearchEngine(spark, f"file://{tmp_path}/logs")
+    day = 86_400_000_000_000
+    e.ingest_json(json.dumps([{"id": f"{i}", "timestamp": BASE + i * day, "level": "info", "service": "s", "message": f"alpha n{i}"} for i in range(5)]))
+    e.ingest_json(json.dumps([{"id": "2", "timestamp": BASE + 9 * day, "service": "s", "message": "alpha moved"}, {"id": "3", "timestamp": BASE, "service": "s", "message": "beta"}]))
+    plans = lambda q: e.hits(q)._jdf.queryExecution().executedPlan().toString()
+    text = plans(Query("alpha"))
+    assert "EqualTo(term,alpha)" in text or "In(term, [alpha])" in text
+    ranged = Query(from_time=BASE + 2 * day, to_time=BASE + 3 * day)
+    assert "PartitionFilters: [isnotnull(day" in plans(ranged)
+    every = {"alpha": ["0", "1", "2", "4"], "n2": [], "moved": ["2"], "beta": ["3"]}
+    for word, ids in every.items():
+        got = e.search(Query(word))
+        assert sorted(r["id"] for r in got["logs"]) == ids and got["total_hits"] == len(ids)
+        assert sorted(r.id for r in s.hits(e.logs(), Query(word)).collect()) == ids  # the same without the index
+    assert e.search(ranged)["total_hits"] == 0 and e.search(Query(level="INFO", limit=2))["total_hits"] == 5
+    assert [r["id"] for r in e.search(Query("alpha", limit=1, offset=1))["logs"]] == ["4"]
+    assert e.search(Query("alpha", from_time=BASE + 4 * day))["total_hits"] == 2
+
+
+def test_two_streams_into_one_engine(spark, tmp_path):
+    for k in "ab":
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "0.json").write_text(json.dumps({"id": k, "message": k}))
+    e = SearchEngine(spark, f"file://{tmp_path}/logs")
+    for k in "ab":
+        streaming.ingest(streaming.read_lines(spark, str(tmp_path / k)), e, str(tmp_path / f"cp-{k}")).awaitTermination()
+    assert e.logs().count() == 2
+
+
+def test_command_line_shows_a_line(capsys):
+    from cairn.__main__ import line
+
+    assert line({"timestamp": 1_700_000_000_123_000_000, "level": "WARN", "service": "s", "id": "0123456789", "message": "m"}).endswith(".123 WARN  s [01234567] m")
