@@ -21,7 +21,7 @@ PRIOR = 64
 #: Rows of a shard of the model, shards at least, and splits of the documents that meet a shard in one task.
 SHARD_ROWS, SHARDS, SPLITS = 1_000_000, 8, 64
 #: Distinct windows of a split that a task gathers before it sends them.
-GATHERED = 8_000_000
+GATHERED = 2_000_000
 _PIECE = 1 << 20
 
 
