@@ -22,11 +22,11 @@ PRIOR = 64
 SHARD_ROWS, SHARDS, SPLITS = 1_000_000, 8, 64
 #: Distinct windows of a split that a task gathers before it sends them.
 GATHERED = 2_000_000
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-    """(bytes, row of each segment, where each segment begins): about 1 MB at a time, long texts in several segments.
+    """(bytes, row of each segment, where each segment begins): about 512 kB at a time, long texts in several segments.
 
     A text is its UTF-8 bytes after five start marks and before an end mark. A segment repeats the last five bytes of
     the one before as its context, so that each window of six bytes occurs once.

@@ -13,10 +13,10 @@ _STEP = 1 << 15
 
 
 class _WordHashes(dict):
-    """64-bit hash of a word, kept for words seen before; emptied when it holds a million."""
+    """64-bit hash of a word, kept for words seen before; emptied when it holds 200,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
