@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,23 +116,28 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict = OrderedDict()
-
-        def of(key, text):
-            if key not in held:
-                held[key] = shingle_set(text.as_py())
-                if len(held) > 64:
-                    held.popitem(last=False)
-            return held[key]
-
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = [similar(of(a[i], batch.column(2)[i]), of(b[i], batch.column(3)[i]), percent) for i in range(batch.num_rows)]
+            keep = [similar(*(np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3)), percent) for i in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, set) of (rep, fp, text) where the text has that fingerprint: of rows that share an id only the one meant."""
+    for batch in batches:
+        sets = [shingle_set(text.as_py()) for text in batch.column(2)]
+        own = pa.array([bool(len(s)) and fingerprint(s) == fp for s, fp in zip(sets, batch.column(1).to_pylist())], pa.bool_())
+        yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"]).filter(own)
+
+
+def _sets_of(docs: DataFrame, reps: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rep, set): the full shingle sets of some representatives."""
+    wanted = small_side(written(reps.select("rep", "fp").join(small_side(ids, BROADCAST_IDS), "rep", "left_semi"), "wanted"), BROADCAST_IDS)
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
+    return texts.select("rep", "fp", "text").mapInArrow(_sets, "rep long, set binary")
+
+
 def _links(docs: DataFrame, reps: DataFrame, trees: range, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b) between representatives of different components, from the neighbours in ``trees``."""
     rows = reps.select("rep", "comp", "sig").mapInArrow(_rows_of(trees), "tree int, key binary, rep long, comp long")
@@ -146,14 +150,10 @@ def _links(docs: DataFrame, reps: DataFrame, trees: range, percent: int, id_col:
     drop(pairs)
     ids = good.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     ids = written(ids, "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(ids, "rep", "left_semi")
-    texts = written(texts, "texts")
-    full = good.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    sets = written(_sets_of(docs, reps, ids, id_col, text_col), "sets")
+    full = good.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     links = written(full.mapInArrow(_verified(percent), "a long, b long").distinct(), "links")
-    drop(texts)
-    drop(good)
+    drop(sets, good, ids)
     return links
 
 
@@ -170,12 +170,6 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(region), batch.column(0), batch.column(1)], ["region", "rep", "comp"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(text.as_py()).tobytes() for text in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
-
-
 def linked(comp: np.ndarray, side: np.ndarray | None, sigs: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Index pairs of links that join the components of a block, or of two blocks told by ``side``.
 
@@ -238,9 +232,7 @@ def _dense(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     rows = written(every.join(small_side(found), "region").select("rep", "comp", "low").distinct(), "members")
     groups = written(connected(rows.select("comp", "low").distinct(), "comp", "low").toDF("comp", "group"), "groups")
     rows = written(rows.select("rep", "comp").distinct().join(small_side(groups), "comp"), "members")
-    ids = small_side(rows.select("rep"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
-    sets = texts.mapInArrow(_sets, "rep long, set binary").groupBy("rep").agg(F.max_by("set", F.length("set")).alias("set"))
+    sets = _sets_of(docs, reps, rows.select("rep"), "doc_id", "text").groupBy("rep").agg(F.first("set").alias("set"))
     rows = written(rows.join(reps.select("rep", "sig"), "rep").join(sets, "rep"), "sets")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("set")) / (8 * BLOCK_SHINGLES)))
     counts = rows.groupBy("group").agg(blocks.cast("int").alias("blocks"))
@@ -248,8 +240,7 @@ def _dense(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "sig", "set")
     links = written(dealt.groupBy("group", "i", "j").applyInArrow(_linked(percent), "a long, b long"), "links")
-    for t in (found, groups, rows):
-        drop(t)
+    drop(found, groups, rows)
     return links
 
 
@@ -280,8 +271,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     32 at least with a chance of over 0.999; neighbours that fall on two range partitions miss each other in that
     tree only, unless their region is dense. Every link returned is exact.
 
-    Null and empty texts have 0 shingles and link with nothing. Rows with a null id are kept, with a null component.
-    Ids are taken as unique; rows that repeat an id are judged each by its own text. Ids are integers.
+    Null and empty texts have 0 shingles and link with nothing; texts of any length count whole. Rows with a null id
+    are kept, with a null component. Rows that repeat an id are judged each by its own text: their sets have
+    representatives of their own, and a set is confirmed on the text that has its fingerprint. Of equal sets the smallest
+    id stands for all. Ids are integers. Empty tables give an empty result; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = written(base.mapInArrow(_signatures, "doc_id long, n_shingles long, fp binary, sig binary"), "signatures")
@@ -301,6 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
 
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; see ``near_duplicates`` for nulls, empty and very long texts, ties, repeated rows and empty tables."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

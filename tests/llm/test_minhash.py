@@ -86,6 +86,14 @@ def test_edges(spark):
     assert minhash.near_duplicates(df.where("false")).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Each is judged by its own text: a set of one is never confirmed on the other's."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "x " * 9), (5, base), (5, "other words that are not in the base text at all"), (7, base + " more"), (9, "other words that are not in the base text at all")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1), (5, 7, 5), (5, 56, 5), (7, 57, 5), (9, 7, 5)]
+
+
 @pytest.mark.parametrize("text", ["", "a", "a b c d", "a b c d e", "A b C d e f A b C d e f", "é\xa0x \x0b y\x0cz\rq"])
 def test_sets(text):
     assert len(shingle_set(text)) == len(shingles(text))
