@@ -119,6 +119,6 @@ def ranked(
     return out.drop("__bucket", "__n0", "__s0")
 
 
-def small_side(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows (ids and small numbers only), else as it is."""
     return F.broadcast(df) if df.count() <= most else df

@@ -76,7 +76,7 @@ def interleave(
     follow the windows, and counts still differ by one at most.
 
     Only slim rows are ranked: the id, the source and each row's place in the files of ``docs`` (a table that is not
-    read from files is written first). Shard and slot join the rows by place: broadcast up to 2 million rows, beyond
+    read from files is written first). Shard and slot join the rows by place: broadcast up to 1 million rows, beyond
     that in one shuffle of the rows.
 
     The hash takes the id and the columns ``told_by``, by default a hash of all others (with ``in_order`` the place in

@@ -140,7 +140,7 @@ def write_archives(
     id sorts lowest and reads back as null. An empty table writes no archive.
 
     Equal payloads are found by SHA-1 and length with partial aggregation; a hot payload is one row per task. Payloads
-    stay where they are read as long as there are 2 million repeated ones at most; beyond that they shuffle by digest.
+    stay where they are read as long as there are 1 million repeated ones at most; beyond that they shuffle by digest.
     Columns of other names are ignored.
     """
     spark = pages.sparkSession
