@@ -284,10 +284,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     joined = written(connected(first), "joined")
     now = reps.drop("comp").join(joined.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     now = written(now.select("fp", "rep", "comp", "sig"), "reps")
+    drop(reps, first, joined)
     rest = _links(base, now, range(FIRST, TREES), percent, "doc_id", "text")
     # links of the first trees stand for their whole component; the later ones join components
-    now = written(_joined(now, rest), "reps")
-    final = _joined(now, _dense(base, now, percent)).select("fp", F.col("comp").alias("root"))
+    more = written(_joined(now, rest), "reps")
+    drop(now, rest)
+    dense = _dense(base, more, percent)
+    final = written(_joined(more, dense).select("fp", F.col("comp").alias("root")), "roots")
+    drop(more, dense)
     out = every.drop("sig").join(final, "fp", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

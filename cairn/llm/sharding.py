@@ -43,7 +43,9 @@ def _placed(rows: DataFrame, shards: int, rows_per_bucket: int) -> DataFrame:
     order = order.withColumn("shard", F.size(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: ahead(s) < F.col("__p"))) - 1)
     own = F.col("shard").cast("long")
     held = F.floor((F.col("__a") + (shards - 1) - own) / shards)
-    return order.withColumn("slot", (held + F.col("__p") - 1 - ahead(own)).cast("long")).select(*others, *PLACED)
+    out = written(order.withColumn("slot", (held + F.col("__p") - 1 - ahead(own)).cast("long")).select(*others, *PLACED), "placed")
+    drop(sizes, spread)
+    return out
 
 
 def _with_order(placed: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def interleave(
     ties = [c.alias(f"__t{i}") for i, c in enumerate(told)]
     slim = rows.select(window.alias("__w"), null_safe(F.col(source_col)).alias("__g"), hash32(seed, F.col(id_col), *told).alias("__k"), F.col(id_col).alias("__id"), *ties, "__file", "__at")
     slim = written(slim, "slim")
-    told = written(_placed(slim, shards, rows_per_bucket).select("__file", "__at", *PLACED), "placed")
+    told = _placed(slim, shards, rows_per_bucket).select("__file", "__at", *PLACED)
     drop(slim)
     return placed.join(small_side(told), ["__file", "__at"]).select(*docs.columns, *PLACED)
 
