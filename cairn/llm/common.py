@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,6 +75,29 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """Arrow batches of fewer rows for what runs inside: texts and sets are large, and a batch is held on both sides."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+@functools.cache
+def lean() -> None:
+    """In a worker: memory of large arrays goes back to the system when they are freed (glibc; elsewhere nothing)."""
+    with suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
 def hash32(seed: int, *cols: Column) -> Column:
     """A seeded 32-bit hash as a BIGINT, from md5, so that other engines give the same order."""
     parts = [F.lit(str(seed))] + [F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols]

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, from_files, scratch_path, small_side, with_place, written
+from .common import drop, from_files, lean, scratch_path, small_batches, small_side, with_place, written
 
 ORDER = 6
 #: Bytes that no UTF-8 text holds.
@@ -72,6 +72,7 @@ def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the windows of a task's texts, added up before they leave it."""
+    lean()
     parts, rows = [], 0
 
     def out(got):
@@ -83,10 +84,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k, c = np.unique(k[inside], return_counts=True)
             parts.append((k, c.astype(np.int64)))
             rows += len(k)
-            if rows > 3_000_000:
+            if rows > 1_000_000:
                 parts = [_add(parts)]
                 rows = len(parts[0][0])
-                if rows > 2_000_000:
+                if rows > 700_000:
                     yield out(parts[0])
                     parts, rows = [], 0
     if parts:
@@ -204,6 +205,7 @@ def _distinct(shards: int):
             rows = [(split, i, _packed(x)) for i, x in blobs if len(x)]
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary()))], ["split", "shard", "keys"])
 
+        lean()
         now, parts, rows = None, [], 0
         for batch in batches:
             for split, a, b in _runs(batch, 1):
@@ -255,6 +257,7 @@ def _summed(folder: str, groups: int):
     """The log probability and the number of windows of each row, after its other columns; (text, split, group) come first."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         now, keys, logs = None, None, None
         for batch in batches:
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
@@ -311,8 +314,9 @@ def _judged(base: DataFrame, trusted: DataFrame, quantile: float, prior: float,
     """The rows of ``base`` (doc_id, text, lang and others) but for their texts, with perplexity, score, threshold, kept."""
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    model = train(base.join(small_side(ids.where(~held)), "doc_id", "left_semi").select("text"))
-    told = written(perplexities(base, model, "text", **sizes), "perplexities")
+    with small_batches(base.sparkSession):
+        model = train(base.join(small_side(ids.where(~held)), "doc_id", "left_semi").select("text"))
+        told = written(perplexities(base, model, "text", **sizes), "perplexities")
     drop(model)
     by = told.join(small_side(ids.where(held)), "doc_id", "left_semi").where("perplexity is not null")
     mean = lambda: F.sum("logp") / F.sum("n")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, small_side, written
+from .common import drop, lean, small_batches, small_side, written
 from .components import connected
 from .shingles import HASHES, fingerprint, shingle_set, signature, similar
 
@@ -25,6 +25,7 @@ ORDERS = np.stack([np.random.default_rng(1000 + t).permutation(HASHES)[:DEPTH] f
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
     for batch in batches:
         ids, n, fp, sig = batch.column(0), [], [], []
         for text in batch.column(1):
@@ -277,6 +278,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     id stands for all. Ids are integers. Empty tables give an empty result; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        every, final = _components(base, percent)
+    out = every.drop("sig").join(final, "fp", "left")
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _components(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures (doc_id, n_shingles, fp, sig) of all rows, and the root of each set (fp, root)."""
     every = written(base.mapInArrow(_signatures, "doc_id long, n_shingles long, fp binary, sig binary"), "signatures")
     heads = every.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
     reps = written(heads.select("fp", F.col("m.doc_id").alias("rep"), F.col("m.doc_id").alias("comp"), F.col("m.sig").alias("sig")), "reps")
@@ -292,9 +302,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     dense = _dense(base, more, percent)
     final = written(_joined(more, dense).select("fp", F.col("comp").alias("root")), "roots")
     drop(more, dense)
-    out = every.drop("sig").join(final, "fp", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return every, final
 
 
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
