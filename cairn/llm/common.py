@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +97,7 @@ def lean() -> None:
         libc = ctypes.CDLL(None)
         libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
         libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
 
 
 def hash32(seed: int, *cols: Column) -> Column:

@@ -20,6 +20,8 @@ QUANTILE, LEAST_DOCS = 0.995, 50
 PRIOR = 64
 #: Rows of a shard of the model, shards at least, and splits of the documents that meet a shard in one task.
 SHARD_ROWS, SHARDS, SPLITS = 1_000_000, 8, 64
+#: Bytes of trusted texts for each shard in which their windows are counted.
+SHARD_BYTES = 1 << 25
 #: Distinct windows of a split that a task gathers before it sends them.
 GATHERED = 2_000_000
 _PIECE = 1 << 19
@@ -70,39 +72,61 @@ def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return k[starts], np.add.reduceat(c, starts)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the windows of a task's texts, added up before they leave it."""
+def _count(shards: int):
+    """Counts of the windows of a task's texts, added up before they leave it: sorted, in a packed pair per shard."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        parts, rows = [], 0
+
+        def out(k, c):
+            of = ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(shards)
+            rows = [(i, _packed(k[of == i]), _packed(c[of == i])) for i in range(shards) if (of == i).any()]
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"])
+
+        for batch in batches:
+            for data, _, begins in _pieces(batch.column(0)):
+                k, inside = _windows(data, begins)
+                k, c = np.unique(k[inside], return_counts=True)
+                parts.append((k, c.astype(np.int64)))
+                rows += len(k)
+                if rows > GATHERED // 2:
+                    parts = [_add(parts)]
+                    rows = len(parts[0][0])
+                    if rows > GATHERED // 4:
+                        yield out(*parts[0])
+                        parts, rows = [], 0
+        if parts:
+            yield out(*_add(parts))
+
+    return count
+
+
+def _merged(shard: pa.Table) -> pa.Table:
+    """The counts of a shard, added up a few parts at a time."""
     lean()
     parts, rows = [], 0
-
-    def out(got):
-        return pa.record_batch([pa.array(got[0].astype(np.int64)), pa.array(got[1])], ["k", "c"])
-
-    for batch in batches:
-        for data, _, begins in _pieces(batch.column(0)):
-            k, inside = _windows(data, begins)
-            k, c = np.unique(k[inside], return_counts=True)
-            parts.append((k, c.astype(np.int64)))
-            rows += len(k)
-            if rows > 1_000_000:
-                parts = [_add(parts)]
-                rows = len(parts[0][0])
-                if rows > 700_000:
-                    yield out(parts[0])
-                    parts, rows = [], 0
-    if parts:
-        yield out(_add(parts))
+    for keys, counts in zip(shard.column("keys"), shard.column("counts")):
+        parts.append((_unpacked(keys.as_py(), np.uint64), _unpacked(counts.as_py(), np.int64)))
+        rows += len(parts[-1][0])
+        if rows > GATHERED:
+            parts = [_add(parts)]
+            rows = 0
+    k, c = _add(parts)
+    return pa.table([pa.array(k.astype(np.int64)), pa.array(c)], ["k", "c"])
 
 
 def train(texts: DataFrame) -> DataFrame:
     """The model as a table (level, ctx, k, v): k null, v = log weight of the lower order after ctx; else v = log p(k).
 
-    ``texts`` has one column. The counts of all six-byte windows of all texts are added up; everything below
+    ``texts`` has one column. The counts of all six-byte windows of all texts are added up, by shard; everything below
     follows from them by joins and sums over that table: the counts of lower orders are continuation counts (how
     many different bytes stand before; at the start of a text, where only the mark can, plain counts), each order has its three discounts from its counts of counts, and each
     probability is interpolated with the next lower order's, down to a uniform byte.
     """
-    level = written(texts.mapInArrow(_count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "ngrams")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(texts.columns[0])), F.lit(0))).first()[0]
+    counts = texts.mapInArrow(_count(max(2 * SHARDS, -(-size // SHARD_BYTES))), "shard int, keys binary, counts binary")
+    level = written(counts.groupBy("shard").applyInArrow(_merged, "k long, c long"), "ngrams")
     tables = {ORDER: level}
     for n in range(ORDER - 1, 0, -1):
         own = F.col("k").bitwiseAND((1 << 8 * n) - 1).alias("k")
