@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, from_files, lean, scratch_path, small_batches, small_side, with_place, written
+from .common import drop, from_files, lean, scratch_path, small_batches, small_side, trim, with_place, written
 
 ORDER = 6
 #: Bytes that no UTF-8 text holds.
@@ -98,6 +98,7 @@ def _count(shards: int):
                         parts, rows = [], 0
         if parts:
             yield out(*_add(parts))
+        trim()
 
     return count
 
@@ -249,6 +250,7 @@ def _distinct(shards: int):
                             parts, rows = [], 0
         if parts:
             yield out(now, parts)
+        trim()
 
     return distinct
 
@@ -296,6 +298,8 @@ def _summed(folder: str, groups: int):
                     total += np.bincount(of, logs[np.searchsorted(keys, u)][back].astype(float), batch.num_rows)
                     n += np.bincount(of, minlength=batch.num_rows)
             yield pa.record_batch([*batch.columns[3:], pa.array(total), pa.array(n)], [*batch.schema.names[3:], "logp", "n"])
+        keys = logs = None
+        trim()
 
     return score
 

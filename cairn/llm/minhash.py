@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, lean, small_batches, small_side, written
+from .common import drop, lean, small_batches, small_side, trim, written
 from .components import connected
-from .shingles import HASHES, fingerprint, shingle_set, signature, similar
+from .shingles import HASHES, fingerprint, forget, shingle_set, signature, similar
 
 TREES, FIRST, DEPTH, LEAST, REGION = 32, 3, 8, 3, 6
 PERCENT = 75
@@ -34,6 +34,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fp.append(fingerprint(s) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
         yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fp", "sig"])
+    forget()
+    trim()
 
 
 def _rows_of(trees: range):
@@ -130,6 +132,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(text.as_py()) for text in batch.column(2)]
         own = pa.array([bool(len(s)) and fingerprint(s) == fp for s, fp in zip(sets, batch.column(1).to_pylist())], pa.bool_())
         yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"]).filter(own)
+    forget()
+    trim()
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -25,6 +25,11 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
+def forget() -> None:
+    """Empty what a worker remembers, at the end of a task."""
+    _words.clear()
+
+
 def _odd(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
