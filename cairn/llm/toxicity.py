@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import copy
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import drop, lean, small_batches, small_side, trim, written
+
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 8
 SLOTS = sum(WIDTHS) * FILTERS
 PAD = max(WIDTHS) - 1
-#: Rows that the classifier is fitted on, at most, and the characters of all their texts together.
-POSITIVES, NEGATIVES, CHARACTERS = 2000, 4000, 50_000_000
+#: Labelled rows and their characters that a shard of the fit has, about; a task holds one shard.
+SHARD_ROWS, SHARD_CHARACTERS = 8192, 32_000_000
 EPOCHS, BATCH, RATE, LEAST_TEXTS = 8, 32, 0.01, 3
+#: Passes over all shards, where there are several; pieces of the embedding that are averaged apart.
+ROUNDS, SLICES = 3, 64
 #: Words that a worker remembers.
 REMEMBERED = 200_000
 
@@ -95,6 +100,20 @@ class Net:
         m[~real] = 0
         return m
 
+    def logits(self, slots: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+        ids, real, begins = laid_out(texts)
+        top = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.float32)
+        doc = np.repeat(np.arange(len(texts)), np.diff(np.append(begins, len(ids))))
+        # a text of any length goes by a stretch at a time, so the maps stay small
+        step = 100_000
+        for a in range(0, len(ids), step):
+            m = self.maps(slots, ids[a : a + step + PAD], real[a : a + step + PAD])[:step]
+            d = doc[a : a + len(m)]
+            starts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+            top[d[starts]] = np.maximum(top[d[starts]], np.maximum.reduceat(m, starts, axis=0))
+        # a text without words says nothing
+        return np.where([len(t) > 0 for t in texts], (top @ self.out + self.base[0]).astype(float), np.nan)
+
 
 def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word rows of all texts with padding between, which of them are words, and where each text begins."""
@@ -106,21 +125,46 @@ def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return ids, real, begins[:-1]
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, feats: np.ndarray, seed: int = 5, epochs: int = EPOCHS) -> Net:
-    """Adam on the logistic loss, classes weighed alike. Buckets seen in fewer than three texts are left out, since
-    they could only serve to learn texts by heart."""
-    net, r = Net(seed), np.random.default_rng(seed)
+def seen_in(texts: list[np.ndarray], feats: np.ndarray) -> np.ndarray:
+    """In how many texts each bucket is."""
     seen = np.zeros(BUCKETS, np.int32)
     for t in texts:
-        seen[np.unique(feats[np.unique(t)])] += 1
-    rare = seen < LEAST_TEXTS
+        own = np.zeros(BUCKETS, bool)
+        own[feats[t]] = True
+        seen += own
+    return seen
+
+
+def rates(passes: int) -> list[float]:
+    return [RATE * (1 - k / passes) for k in range(passes)]
+
+
+def fit(
+    texts: list[np.ndarray],
+    labels: np.ndarray,
+    feats: np.ndarray,
+    seed: int | Sequence[int] = 5,
+    epochs: int = EPOCHS,
+    net: Net | None = None,
+    rare: np.ndarray | None = None,
+    share: float | None = None,
+    steps: Sequence[float] | None = None,
+) -> Net:
+    """Adam on the logistic loss, classes weighed alike; a step moves the buckets it has a gradient for. Buckets seen in fewer than three texts are left out, since
+    they could only serve to learn texts by heart.
+
+    For a shard of the texts, ``net`` is where to go on from, ``rare`` and ``share`` (of label 1) are those of all
+    texts, and ``steps`` are the rates of the passes.
+    """
+    net, r = net or Net(seed), np.random.default_rng(seed)
+    rare = seen_in(texts, feats) < LEAST_TEXTS if rare is None else rare
     feats = np.where(rare[feats], 0, feats)
     net.emb[rare] = 0
-    weigh = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9)).astype(np.float32)
+    share = labels.mean() if share is None else share
+    weigh = np.where(labels == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)).astype(np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
     step, n_maps = 0, len(WIDTHS) * FILTERS
-    for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs)
+    for rate in rates(epochs) if steps is None else steps:
         order = r.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
@@ -146,16 +190,16 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, feats: np.ndarray, seed: in
                     np.add.at(d_slots, (ids[np.minimum(pos[own] + j, len(ids) - 1)], slot_at + j * FILTERS + col[own] % FILTERS), back[own])
                 slot_at += w * FILTERS
             used = np.flatnonzero(d_slots.any(axis=1))
-            d_emb = np.zeros_like(net.emb)
-            np.add.at(d_emb, f[used].ravel(), np.repeat(d_slots[used] @ net.conv.T, _FEATURES, axis=0))
-            d_emb[0] = 0
+            moved, place = np.unique(f[used], return_inverse=True)
+            d_emb = np.zeros((len(moved), DIM), np.float32)
+            np.add.at(d_emb, place.ravel(), np.repeat(d_slots[used] @ net.conv.T, _FEATURES, axis=0))
+            d_emb[moved == 0] = 0
             grads = [d_emb, e.T @ d_slots, np.bincount(col, back, n_maps).astype(np.float32), (top * g[:, None]).sum(axis=0), g.sum(keepdims=True)]
             step += 1
-            for q, d, (m, v) in zip(net.parts(), grads, moments):
-                m += 0.1 * (d - m)
-                v += 0.001 * (d * d - v)
-                q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            net.emb[rare] = 0
+            for q, d, (m, v), own in zip(net.parts(), grads, moments, (moved, *[slice(None)] * 4)):
+                m[own] = first = 0.9 * m[own] + 0.1 * d
+                v[own] = second = 0.999 * v[own] + 0.001 * (d * d)
+                q[own] -= (rate / (1 - 0.9**step)) * first / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
             np.maximum(net.out, 0.01, out=net.out)
     return net
 
@@ -184,20 +228,10 @@ class Scorer:
 
     def _run(self, texts: list[np.ndarray]) -> np.ndarray:
         self.slots = np.concatenate((self.slots, self.net.slots(self.words.fetched())))
-        ids, real, begins = laid_out(texts)
-        top = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.float32)
-        doc = np.repeat(np.arange(len(texts)), np.diff(np.append(begins, len(ids))))
-        # a text of any length goes by a stretch at a time, so the maps stay small
-        step = 100_000
-        for a in range(0, len(ids), step):
-            m = self.net.maps(self.slots, ids[a : a + step + PAD], real[a : a + step + PAD])[:step]
-            d = doc[a : a + len(m)]
-            starts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-            top[d[starts]] = np.maximum(top[d[starts]], np.maximum.reduceat(m, starts, axis=0))
+        out = self.net.logits(self.slots, texts)
         if len(self.slots) > REMEMBERED:
             self.clear()
-        # a text without words says nothing
-        return np.where([len(t) > 0 for t in texts], (top @ self.net.out + self.net.base[0]).astype(float), np.nan)
+        return out
 
 
 def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -216,7 +250,8 @@ def held_out(id_col: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, seed: int, positives: int, negatives: int, characters: int):
-    """Rows of the fit: those with the lowest hash of the id, as long as their texts fit into ``characters``.
+    """Fewer rows for the fit, for callers who ask for that: those with the lowest hash of the id, as long as their
+    texts fit into ``characters``. The query takes all rows.
 
     An id with several labels is toxic if one says so; of several texts with one id the first in their order counts.
     Ids and lengths of at most ``positives + negatives`` rows come to the driver first, so it never holds more text.
@@ -237,42 +272,207 @@ def _sample(docs: DataFrame, labels: DataFrame, seed: int, positives: int, negat
     return texts.select("doc_id", "toxic", "t.text", "t.lang").orderBy("doc_id").toArrow()
 
 
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text, lang): each row of ``docs`` that has a label. An id with several labels is toxic if one says so."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    return docs.join(small_side(known), "doc_id").select("doc_id", "toxic", "text", "lang")
+
+
+_PACKED = "shard int, toxic binary, learn binary, cut binary, langs array<string>, lengths binary, ids binary, feats binary, seen binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shard from rows (shard, toxic, learn, cut, lang, text) in order of shards: words by number, the
+    buckets of each word, and in how many texts to learn from a bucket is, as far as that matters."""
+    lean()
+    schema = pa.schema([(c, pa.int32() if c == "shard" else pa.list_(pa.string()) if c == "langs" else pa.binary()) for c in (x.split()[0] for x in _PACKED.split(", "))])
+
+    def packed() -> pa.RecordBatch:
+        feats, learn = words.fetched(), np.array([r[1] for r in rows], bool)
+        seen = np.minimum(seen_in([t for t, k in zip(texts, learn) if k], feats), LEAST_TEXTS)
+        arrays = (
+            np.array([r[0] for r in rows], np.int8), learn, np.array([r[2] for r in rows], bool),
+            np.array([len(t) for t in texts], np.int32), np.concatenate(texts), feats.astype(np.uint16), seen.astype(np.uint8),
+        )
+        b = [a.tobytes() for a in arrays]
+        return pa.record_batch([[v] for v in (shard, *b[:3], [r[3] for r in rows], *b[3:])], schema=schema)
+
+    shard = None
+    for batch in batches:
+        text = batch.column(5)
+        for i, (k, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+            if k != shard:
+                if shard is not None:
+                    yield packed()
+                shard, rows, texts, words = k, [], [], Words()
+            rows.append(row)
+            texts.append(words.of(text[i].as_py()).astype(np.int32))
+    if shard is not None:
+        yield packed()
+    trim()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(shard, texts, feats, toxic, learn, cut, langs) of each row of ``_pack``."""
+    kinds = {"toxic": np.int8, "learn": bool, "cut": bool, "lengths": np.int32, "ids": np.int32, "feats": np.uint16}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            c = {k: np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in kinds.items()}
+            texts = np.split(c["ids"], np.cumsum(c["lengths"])[:-1])
+            yield batch.column("shard")[i].as_py(), texts, c["feats"].reshape(-1, _FEATURES).astype(np.int64), c["toxic"], c["learn"], c["cut"], batch.column("langs")[i].as_py()
+
+
+_PARTS = "slice int, shard int, part binary"
+
+
+def _parts(shard: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(range(len(arrays)), pa.int32()), pa.array([shard] * len(arrays), pa.int32()), pa.array([a.tobytes() for a in arrays], pa.binary())], ["slice", "shard", "part"])
+
+
+def _sliced_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard, seen in zip(*(c.to_pylist() for c in batch.columns)):
+            yield _parts(shard, np.split(np.frombuffer(seen, np.uint8), SLICES))
+
+
+def _sum_seen(parts: list[bytes], k: int) -> bytes:
+    return sum(np.frombuffer(p, np.uint8).astype(np.int64) for p in parts).tobytes()
+
+
+def _mean_change(parts: list[bytes], k: int) -> bytes:
+    """A bucket's change is the mean over the shards that changed it, that of the other layers the mean over all."""
+    total, n = 0.0, 0
+    for p in parts:
+        d = np.frombuffer(p, np.float32).reshape(-1, DIM if k < SLICES else 1).astype(float)
+        total, n = total + d, n + ((d != 0).any(axis=1, keepdims=True) if k < SLICES else 1)
+    return (total / np.maximum(n, 1)).tobytes()
+
+
+def _gathered(parts: DataFrame, combine: Callable[[list[bytes], int], bytes]) -> list[bytes]:
+    """The slices of all shards, combined on the executors in order of shards: what the driver gets has the size of one."""
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        k = table.column("slice")[0].as_py()
+        return pa.table({"slice": pa.array([k], pa.int32()), "part": pa.array([combine(table.column("part").to_pylist(), k)], pa.binary())})
+
+    got = parts.groupBy("slice").applyInArrow(one, "slice int, part binary").collect()
+    return [r.part for r in sorted(got, key=lambda r: r.slice)]
+
+
+def _changes(model) -> Callable:
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        net, rare, share, seed, steps = model.value
+        for shard, texts, feats, y, learn, _, _ in _unpacked(batches):
+            own = fit([t for t, k in zip(texts, learn) if k], y[learn], feats, [*seed, shard], net=copy.deepcopy(net), rare=rare, share=share, steps=steps)
+            rest = np.concatenate([(a - b).ravel() for a, b in zip(own.parts()[1:], net.parts()[1:])])
+            yield _parts(shard, [*np.split(own.emb - net.emb, SLICES), rest])
+        trim()
+
+    return change
+
+
+def _fit_all(shards: DataFrame, n_shards: int, share: float, seed: int) -> Net:
+    """The net fitted on every row of ``shards`` (see ``_pack``).
+
+    One shard is passed over ``EPOCHS`` times by one task. Several are fitted at once, each from the same net, and the
+    net goes on by the mean of their changes, ``ROUNDS`` times over all.
+    """
+    spark, net = shards.sparkSession, Net(seed)
+    rare = np.concatenate([np.frombuffer(b, np.int64) for b in _gathered(shards.select("shard", "seen").mapInArrow(_sliced_seen, _PARTS), _sum_seen)]) < LEAST_TEXTS
+    net.emb[rare] = 0
+    for k, steps in enumerate([rates(EPOCHS)] if n_shards == 1 else [[x] for x in rates(ROUNDS)]):
+        model = spark.sparkContext.broadcast((net, rare, share, (seed, k), steps))
+        got = _gathered(shards.mapInArrow(_changes(model), _PARTS), _mean_change)
+        change, net = [np.frombuffer(b) for b in got], copy.deepcopy(net)
+        net.emb += np.concatenate(change[:-1]).reshape(net.emb.shape).astype(np.float32)
+        at = 0
+        for p in net.parts()[1:]:
+            p += change[-1][at : at + p.size].reshape(p.shape).astype(np.float32)
+            at += p.size
+        model.unpersist()
+    return net
+
+
+def _logits_of_cut(model) -> Callable:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = model.value
+        for _, texts, feats, y, _, cut, langs in _unpacked(batches):
+            slots = np.concatenate([net.slots(f) for f in np.array_split(feats, -(-len(feats) // 50_000))])
+            own = np.flatnonzero(cut)
+            ends = np.cumsum([len(texts[i]) for i in own]) // 50_000
+            for rows in np.split(own, np.flatnonzero(np.diff(ends)) + 1):
+                if len(rows):
+                    z = net.logits(slots, [texts[i] for i in rows])
+                    yield pa.record_batch([pa.array([langs[i] or "" for i in rows], pa.string()), pa.array(y[rows], pa.int32()), pa.array(z, pa.float64())], ["lang", "toxic", "z"])
+
+    return score
+
+
+def best_cuts(scores: DataFrame, group: str) -> dict[str, float]:
+    """``best_cut`` of each value of ``group`` over all rows of ``scores`` (``group``, toxic, z), on the executors.
+
+    Equal scores are one row; prefix sums go by stretches of the scores, so no group is one task.
+    """
+    t = scores.groupBy(group, "z").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits"))
+    t = t.withColumn("__at", F.floor(F.col("z") * 16))
+    # the sums of a stretch: how many rows lie above it and how many of the group are toxic
+    above = Window.partitionBy(group).orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = t.groupBy(group, "__at").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    parts = parts.select(group, "__at", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"__{c}") for c in ("n", "hits")], F.sum("hits").over(Window.partitionBy(group)).alias("__all"))
+    upto = Window.partitionBy(group, "__at").orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, 0)
+    f1 = 2 * (F.sum("hits").over(upto) + F.col("__hits")) / (F.sum("n").over(upto) + F.col("__n") + F.greatest(F.col("__all"), F.lit(1)))
+    best = t.join(parts.select(group, "__at", "__n", "__hits", "__all"), [group, "__at"]).select(group, "z", f1.alias("f1"))
+    best = best.groupBy(group).agg(F.max(F.struct("f1", "z")).alias("b")).select(group, F.col("b.z").alias("__best"))
+    below = t.join(F.broadcast(best), group).groupBy(group, "__best").agg(F.max(F.when(F.col("z") < F.col("__best"), F.col("z"))).alias("next"))
+    return {r[group]: (r["__best"] + r["next"]) / 2 if r["next"] is not None else r["__best"] - 1e-6 for r in below.collect()}
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, seed: int = 5, positives: int = POSITIVES, negatives: int = NEGATIVES, characters: int = CHARACTERS
+    docs: DataFrame, labels: DataFrame, seed: int = 5, shard_rows: int = SHARD_ROWS, shard_characters: int = SHARD_CHARACTERS, sample: tuple[int, int, int] | None = None
 ) -> tuple[Net, float, float, dict[str, float]]:
-    """(net, cut, share of label 1, cut by language) from a bounded sample of labelled rows, see ``_sample``.
-
-    ``docs``: doc_id, text, lang; ``labels``: doc_id, toxic, without held-out rows. A fifth of the sample sets the
-    cuts: one over all, at which a score is 0.5, and one per language that has 20 rows of either label in that fifth.
-    The language serves for its cut only, never for a score.
+    """(net, cut, share of label 1, cut by language) from all labelled rows.
+
+    ``docs``: doc_id, text, lang; ``labels``: doc_id, toxic, without held-out rows. Of several texts with one id the
+    first in their order counts. A fifth of the ids, by a hash, sets the cuts: one over all, at which a score is 0.5,
+    and one per language that has 20 rows of either label in that fifth. The others are what the net is fitted on, in
+    shards by a hash of the id (see ``_fit_all``): as many as their rows and characters need, whatever the cluster, so
+    reruns agree. The language serves for its cut only, never for a score. ``sample``: (positives, negatives,
+    characters) of the rows to learn from, where a caller wants fewer, see ``_sample``; None takes all.
     """
-    rows = _sample(docs, labels, seed, positives, negatives, characters)
-    y, langs = rows.column("toxic").to_numpy(), rows.column("lang").to_pylist()
-    if not 0 < y.sum() < len(y):
+    spark = docs.sparkSession
+    rows = _labelled(docs, labels)
+    if sample:
+        rows = spark.createDataFrame(_sample(docs, labels, seed, *sample)).select("doc_id", "toxic", "text", "lang")
+    part = lambda name, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("doc_id")), F.lit(n)).cast("int")
+    rows = rows.withColumn("fifth", part("cut", 5) == 0)
+    ids = rows.groupBy("doc_id", "toxic", "fifth").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("characters"))
+    counts = ids.groupBy("fifth", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("characters").alias("characters")).collect()
+    total, toxic = sum(r.n for r in counts), sum(r.n for r in counts if r.toxic)
+    if not 0 < toxic < total:
         # nothing to learn from: every score is the share of label 1
         net = Net(seed)
         net.out[:] = 0
-        share = float(len(y) and y.all())
+        share = float(toxic > 0)
         return net, 20.0 - 40.0 * share, share, {}
-    words = Words()
-    texts = [words.of(t.as_py()) for t in rows.column("text")]
-    feats = words.fetched()
-    fifth = np.random.default_rng(seed).random(len(y)) < 0.2
-    if len(np.unique(y[fifth])) < 2 or len(np.unique(y[~fifth])) < 2:
-        fifth[:] = True
-        learn = fifth
-    else:
-        learn = ~fifth
-    net = fit([t for t, k in zip(texts, learn) if k], y[learn], feats, seed)
-    z, yz = Scorer(net).logits(t.as_py() for t, k in zip(rows.column("text"), fifth) if k), y[fifth]
-    some = ~np.isnan(z)
-    by, lz = {}, np.array([x or "" for x in langs], object)[fifth][some]
-    z, yz = z[some], yz[some]
-    for lang in set(lz):
-        own = lz == lang
-        if 20 <= yz[own].sum() <= own.sum() - 20:
-            by[lang] = best_cut(z[own], yz[own])
-    return net, best_cut(z, yz) if len(z) else 0.0, float(y.mean()), by
+    # both labels in both parts, or all rows in either part
+    apart = len(counts) == 4
+    to_learn = {r.toxic: r.n for r in counts if not r.fifth} if apart else {1: toxic, 0: total - toxic}
+    n_shards = max(1, -(-total // shard_rows), -(-sum(r.characters for r in counts) // shard_characters))
+    rows = rows.withColumns({"shard": part("shard", n_shards), "learn": ~F.col("fifth") | F.lit(not apart), "cut": F.col("fifth") | F.lit(not apart)})
+    first = Window.partitionBy("shard", "doc_id").orderBy("text", "lang")
+    rows = rows.repartition(4 * n_shards, "shard").withColumn("__first", F.row_number().over(first)).where("__first = 1")
+    with small_batches(spark, 256):
+        shards = written(rows.select("shard", "toxic", "learn", "cut", "lang", "text").mapInArrow(_pack, _PACKED), "shards")
+    with small_batches(spark, 1):
+        net = _fit_all(shards, n_shards, to_learn[1] / sum(to_learn.values()), seed)
+        scores = written(shards.mapInArrow(_logits_of_cut(spark.sparkContext.broadcast(net)), "lang string, toxic int, z double"), "cuts").where("not isnan(z)")
+    cut = best_cuts(scores.withColumn("every", F.lit("")), "every").get("", 0.0)
+    enough = scores.groupBy("lang").agg(F.sum("toxic").alias("n"), F.count(F.lit(1)).alias("of")).where("n >= 20 and of - n >= 20").select("lang")
+    by = best_cuts(scores.join(enough, "lang"), "lang")
+    drop(shards)
+    return net, cut, toxic / total, by
 
 
 _scorers: dict = {}
@@ -291,11 +491,11 @@ def _scored(model):
     return score
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 5, **bounds) -> DataFrame:
+def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 5, **params) -> DataFrame:
     """(doc_id, held_out, score, predicted, lang, lang_threshold, flagged) for each row of ``docs``.
 
-    The classifier is fitted on the driver on a bounded sample of labelled rows, see ``train`` for the bounds; scoring
-    reads each whole text once, however long, and shuffles nothing. ``score`` depends on the text alone; ``predicted``
+    The classifier is fitted on all labelled rows that are not held out, on the executors, see ``train``; scoring reads
+    each whole text once, however long, and shuffles nothing. ``score`` depends on the text alone; ``predicted``
     is 1 from 0.5 on; ``flagged`` uses the threshold calibrated for the row's language (0.5 where a language has none,
     null too), from the threshold on.
 
@@ -304,7 +504,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     1 if all known are toxic). An empty table gives an empty result; columns of other names are ignored. Reruns agree.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    net, cut, share, by = train(base, labels.where(~held_out(F.col("doc_id"))), seed, **bounds)
+    net, cut, share, by = train(base, labels.where(~held_out(F.col("doc_id"))), seed, **params)
     model = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, net, cut, share))
     out = base.mapInArrow(_scored(model), "doc_id long, lang string, score double")
     threshold = F.lit(0.5)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -110,3 +111,48 @@ def test_gradient_lowers_the_loss():
 
 def test_best_cut():
     assert 0.3 < t.best_cut(np.array([0.1, 0.3, 0.5, 0.9]), np.array([0, 0, 1, 1])) < 0.5
+
+
+def test_every_labelled_row_counts(spark):
+    """A third of the toxic rows, those with the highest hash of the id, have a sign of their own."""
+    rng = random.Random(7)
+    order = {r.id: r.at for r in spark.range(5000).selectExpr("id", "row_number() over (order by xxhash64(5, id)) as at").collect()}
+    docs, labels = [], []
+    for i in range(5000):
+        toxic = int(i % 10 < 7)
+        words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(6)]
+        if toxic:
+            words[rng.randrange(6)] = "zonk" if order[i] <= 3600 else "quux"
+        docs.append((i, " ".join(words), "xx"))
+        labels.append((i, toxic))
+    rows = t.toxic_scores(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [(r.predicted, docs[r.doc_id][1]) for r in rows if r.held_out]
+    for sign, least in (("zonk", 0.95), ("quux", 0.95)):
+        own = [p for p, text in held if sign in text]
+        assert len(own) > 50 and sum(own) / len(own) >= least
+    clean = [p for p, text in held if "zonk" not in text and "quux" not in text]
+    assert sum(clean) / len(clean) <= 0.05
+
+
+def test_several_shards(spark):
+    """Shards learn together, whatever the partitions; labels of held-out rows change nothing."""
+    docs, labels = corpus(9, 1500)
+    truth = {i: y for i, _, y in labels}
+    base = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = t.toxic_scores(base.repartition(5), lab.repartition(3), shard_rows=300).collect()
+    held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    assert 2 * sum(p and y for p, y in held) / (sum(p for p, _ in held) + sum(y for _, y in held)) >= 0.8
+    turned = spark.createDataFrame([(i, q, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, q, y in labels], "doc_id long, quality int, toxic int")
+    again = t.toxic_scores(base, turned, shard_rows=300).collect()
+    before = {r.doc_id: r.score for r in rows}
+    assert len(again) == len(rows) and all(math.isclose(r.score, before[r.doc_id], abs_tol=1e-6) for r in again)
+
+
+def test_best_cuts_equal_those_of_one_list(spark):
+    r = np.random.default_rng(3)
+    rows = [(g, int(r.random() < p), float(np.round(r.normal(p, 1), d))) for g, p, d in (("a", 0.3, 6), ("b", 0.6, 1), ("c", 0.0, 3), ("d", 1.0, 0)) for _ in range(400)]
+    got = t.best_cuts(spark.createDataFrame(rows, "lang string, toxic int, z double"), "lang")
+    for g in "abcd":
+        own = [(z, y) for k, y, z in rows if k == g]
+        assert math.isclose(got[g], t.best_cut(*(np.array(x) for x in zip(*own))), abs_tol=1e-9)
