@@ -55,6 +55,10 @@ def _inverse(fraction: Column, schedule: Sequence[tuple[float, float]]) -> Colum
     return out
 
 
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def plan(
     docs: DataFrame,
     size: Column | None = None,
@@ -83,7 +87,7 @@ def plan(
     would add no words); null sources form the last source; null ids and repeated rows count each; an empty table
     gives an empty table. ``keep`` columns may have any name that is not among the results.
     """
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long") if size is None else size
+    words = word_count(F.col(text_col)) if size is None else size
     rows = docs.select(*dict.fromkeys([id_col, *keep]), F.col(source_col).alias("__src"), words.alias("size"))
     rows = rows.withColumns({"__k": hash32(seed, F.col(id_col), F.col("size")), "__g": null_safe(F.col("__src"))})
     rows = written(rows, "sized")
@@ -109,6 +113,19 @@ def plan(
     return line.withColumn("positions", passes).select(*dict.fromkeys([id_col, *keep]), "size", "source_size", "target", "times", "positions")
 
 
+def in_order(docs: DataFrame, **params) -> tuple[DataFrame, DataFrame]:
+    """(planned, taken): the plan of each row of ``docs`` by its place, and the whole rows of the mix, one per pass, range-sorted
+    into training order, with place and ``position``. See ``mix``."""
+    placed = with_place(docs, "documents")
+    named = {k: params.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    slim = placed.select(*[F.col(c).alias(f"__{k}") for k, c in named.items()], "__file", "__at")
+    planned = written(plan(slim, keep=["__file", "__at"], **(params | {k: f"__{k}" for k in named})), "planned")
+    passes = planned.where("times > 0").select("__file", "__at", "positions")
+    taken = placed.join(small_side(passes), ["__file", "__at"]).withColumn("position", F.explode("positions"))
+    order = ("position", named["id_col"], "__file", "__at")
+    return planned, taken.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The documents of the mix in training order, each as often as it is taken, plus ``position`` in [0, 1].
 
@@ -119,21 +136,20 @@ def mix(docs: DataFrame, **params) -> DataFrame:
     nulls, empty and repeated rows.
     """
     docs = docs.drop("position")
-    placed = with_place(docs, "documents")
-    named = {k: params.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
-    slim = placed.select(*[F.col(c).alias(f"__{k}") for k, c in named.items()], "__file", "__at")
-    planned = plan(slim, keep=["__file", "__at"], **(params | {k: f"__{k}" for k in named}))
-    passes = written(planned.where("times > 0").select("__file", "__at", "positions"), "passes")
-    taken = placed.join(small_side(passes), ["__file", "__at"]).withColumn("position", F.explode("positions"))
-    order = ("position", named["id_col"], "__file", "__at")
-    return taken.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns, "position")
+    return in_order(docs, **params)[1].select(*docs.columns, "position")
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: what the mix takes of each, and when it is first trained on. See ``plan`` for nulls, empty, very
-    long and repeated rows, ties and empty tables; columns beside doc_id, text and source are ignored."""
-    p = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), F.round(F.get("positions", F.lit(0)), 6).alias("first_at"))
+    """All documents: what the mix takes of each, and when it is first trained on. Both are read off the rows of the mix:
+    ``taken`` counts the words of the texts in it, ``first_at`` is the position of a document's first row in training
+    order. See ``plan`` for nulls, empty, very long and repeated rows, ties and empty tables; columns beside doc_id, text
+    and source are ignored."""
+    planned, taken = in_order(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    # numbered as they come, after the range sort
+    rows = taken.select("__file", "__at", "position", word_count(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("__n"))
+    of = rows.groupBy("__file", "__at").agg(F.sum("words").alias("taken"), F.min_by("position", "__n").alias("first_at"))
+    out = planned.join(of, ["__file", "__at"], "left")
+    return out.select(F.col("__id_col").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.round("first_at", 6).alias("first_at"))
 
 
 ORACLE = r"""

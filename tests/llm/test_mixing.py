@@ -122,3 +122,41 @@ def test_heavy_sources_come_early(spark):
 def test_native(spark):
     plan = mixing.mix(table(spark, fixture(5)).repartition(2))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_query_reads_the_mix(spark, tmp_path):
+    """What the query says of a document is what the rows of the mix hold of it, which are range-sorted, texts and all."""
+    rows = fixture(200, 6) + [(None, "x y", "a"), (None, "x y", "a"), (3, "z", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    query = mixing.op8_curriculum_mix(spark, str(tmp_path))
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(position" in plan and "Python" not in plan and "Arrow" not in plan
+    scan = plan[plan.index("rangepartitioning(position"):]
+    assert "text" in scan.split("\n", 1)[1]
+    got, expected = {}, {}
+    for r in query.collect():
+        words, first = got.get(r.doc_id, (0, []))
+        got[r.doc_id] = (words + r.taken, sorted([*first, r.first_at] if r.first_at is not None else first))
+    for r in mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect():
+        words, at = expected.get(r.doc_id, (0, []))
+        expected[r.doc_id] = (words + len(re.findall(r"[^\x20\x09-\x0D]+", r.text)), [*at, round(r.position, 6)])
+    assert len(got) == 201
+    for i, (words, first) in got.items():
+        assert words == expected.get(i, (0, []))[0]
+        # ids that several rows share have the first of each
+        assert first == expected[i][1][:1] if len(first) == 1 else set(first) <= set(expected.get(i, (0, []))[1])
+
+
+def test_query_equals_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t, s) for i, t, s in fixture(300, 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = [tuple(r) for r in mixing.op8_curriculum_mix(spark, str(tmp_path)).collect()]
+    want = duck.execute(mixing.ORACLE).fetchall()
+    assert len(got) == len(want) == 300
+    for a, b in zip(sorted(got), sorted(want)):
+        assert a[:3] + a[4:5] == b[:3] + b[4:5] and math.isclose(a[3], b[3])
+        assert (a[5] is None) == (b[5] is None) and (a[5] is None or math.isclose(a[5], b[5], abs_tol=2e-6))
