@@ -256,7 +256,7 @@ def _sample(docs: DataFrame, labels: DataFrame, seed: int, positives: int, negat
     An id with several labels is toxic if one says so; of several texts with one id the first in their order counts.
     Ids and lengths of at most ``positives + negatives`` rows come to the driver first, so it never holds more text.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = _known(labels)
     order = F.xxhash64(F.lit(seed), "doc_id")
     some = [known.where(f"toxic = {k}").orderBy(order, "doc_id").limit(n) for k, n in ((1, positives), (0, negatives))]
     ids = docs.sparkSession.createDataFrame(some[0].unionByName(some[1]).collect(), "doc_id long, toxic int")
@@ -272,10 +272,9 @@ def _sample(docs: DataFrame, labels: DataFrame, seed: int, positives: int, negat
     return texts.select("doc_id", "toxic", "t.text", "t.lang").orderBy("doc_id").toArrow()
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, text, lang): each row of ``docs`` that has a label. An id with several labels is toxic if one says so."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return docs.join(small_side(known), "doc_id").select("doc_id", "toxic", "text", "lang")
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): an id with several labels is toxic if one says so."""
+    return labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
 _PACKED = "shard int, toxic binary, learn binary, cut binary, langs array<string>, lengths binary, ids binary, feats binary, seen binary"
@@ -442,12 +441,13 @@ def train(
     characters) of the rows to learn from, where a caller wants fewer, see ``_sample``; None takes all.
     """
     spark = docs.sparkSession
-    rows = _labelled(docs, labels)
     if sample:
-        rows = spark.createDataFrame(_sample(docs, labels, seed, *sample)).select("doc_id", "toxic", "text", "lang")
+        docs = spark.createDataFrame(_sample(docs, labels, seed, *sample)).select("doc_id", "text", "lang")
+    known = small_side(_known(labels))
     part = lambda name, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("doc_id")), F.lit(n)).cast("int")
-    rows = rows.withColumn("fifth", part("cut", 5) == 0)
-    ids = rows.groupBy("doc_id", "toxic", "fifth").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("characters"))
+    # lengths alone go through this join
+    ids = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("characters")).join(known, "doc_id")
+    ids = ids.groupBy("doc_id", "toxic").agg(F.sum("characters").alias("characters")).withColumn("fifth", part("cut", 5) == 0)
     counts = ids.groupBy("fifth", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("characters").alias("characters")).collect()
     total, toxic = sum(r.n for r in counts), sum(r.n for r in counts if r.toxic)
     if not 0 < toxic < total:
@@ -460,6 +460,7 @@ def train(
     apart = len(counts) == 4
     to_learn = {r.toxic: r.n for r in counts if not r.fifth} if apart else {1: toxic, 0: total - toxic}
     n_shards = max(1, -(-total // shard_rows), -(-sum(r.characters for r in counts) // shard_characters))
+    rows = docs.join(known, "doc_id").withColumn("fifth", part("cut", 5) == 0)
     rows = rows.withColumns({"shard": part("shard", n_shards), "learn": ~F.col("fifth") | F.lit(not apart), "cut": F.col("fifth") | F.lit(not apart)})
     first = Window.partitionBy("shard", "doc_id").orderBy("text", "lang")
     rows = rows.repartition(4 * n_shards, "shard").withColumn("__first", F.row_number().over(first)).where("__first = 1")
