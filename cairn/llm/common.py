@@ -106,6 +106,17 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Each executor collects its garbage, so that heap which earlier work has grown goes back to the system.
+
+    Young collections never shrink a heap; a full one does (G1, Spark's usual collector; others may keep it). It takes
+    as long as what is alive is large, which between the steps of a job is little. One task per executor, which is
+    where they go while all are idle; on a busy cluster some may be left out. No result depends on it.
+    """
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is counted, too
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def hash32(seed: int, *cols: Column) -> Column:
     """A seeded 32-bit hash as a BIGINT, from md5, so that other engines give the same order."""
     parts = [F.lit(str(seed))] + [F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols]

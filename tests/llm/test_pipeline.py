@@ -1,5 +1,8 @@
+import gc
 import random
 
+import pytest
+
 import corpus_pipeline as cp
 from cairn.llm import decontam, kneser, minhash, mixing
 
@@ -46,3 +49,20 @@ def test_stages(spark, tmp_path):
     assert not {i for i in seen["decontaminate"] if i >= 300} and clean & seen["quality"] <= seen["decontaminate"]
     a, b = (sorted(map(tuple, cp.run(spark, str(tmp_path)).collect()), key=str) for _ in range(2))
     assert a == b and len(a) == now.count()
+
+
+@pytest.mark.parametrize("name", [name for name, _ in cp.STAGES])
+def test_stages_begin_with_a_small_heap(spark, tmp_path, name):
+    """Garbage of earlier work, 1 GB here, goes back to the system; tasks run in this one JVM."""
+    docs = [(i, f"a few words of text {i}", "en", "a", 20) for i in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such passage is in the texts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    garbage = spark.sparkContext._gateway.new_array(spark._jvm.long, 1 << 27)
+    grown = heap.totalMemory()
+    assert grown > 1 << 30
+    del garbage
+    gc.collect()
+    dict(cp.STAGES)[name](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert heap.totalMemory() < grown - (1 << 28)
